@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from logtide.operators.baseline import rolling_count
 from logtide.operators.suppress import cooldown
+from logtide.session import materialise
 from logtide.settings import FEATURES, DetectionSettings
 
 EULER_GAMMA = 0.5772156649015329
-TREE_SCHEMA = (
-    "service string, model_id bigint, tree int, rows int, feature array<int>, "
-    "threshold array<double>, left array<int>, right array<int>, size array<int>"
+MODEL_SCHEMA = (
+    "service string, model_id bigint, trees int, rows int, feature array<int>, "
+    "threshold array<double>, size array<int>"
 )
 
 
@@ -34,49 +35,67 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n <= 2, 1.0, big))
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> dict[str, list]:
-    """Random isolation tree as parallel node arrays; feature -1 marks a leaf."""
-    tree: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "size")}
-
-    def node(feature: int, threshold: float, size: int) -> int:
-        tree["feature"].append(feature)
-        tree["threshold"].append(threshold)
-        tree["left"].append(-1)
-        tree["right"].append(-1)
-        tree["size"].append(size)
-        return len(tree["feature"]) - 1
-
-    def grow(rows: np.ndarray, depth: int) -> int:
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (0, 0)
-        splittable = np.flatnonzero(high > low) if len(rows) > 1 else np.array([], dtype=int)
-        if depth >= max_depth or len(splittable) == 0:
-            return node(-1, 0.0, len(rows))
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        here = node(feature, threshold, len(rows))
-        goes_left = rows[:, feature] <= threshold
-        tree["left"][here] = grow(rows[goes_left], depth + 1)
-        tree["right"][here] = grow(rows[~goes_left], depth + 1)
-        return here
-
-    grow(x, 0)
-    return tree
-
-
-def path_lengths(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray,
-                 right: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Path length of every row of `x` in one tree, with the correction for leaf sizes."""
-    at = np.zeros(len(x), dtype=int)
-    depth = np.zeros(len(x))
-    active = feature[at] >= 0
-    while active.any():
-        rows = np.flatnonzero(active)
-        nodes = at[rows]
-        goes_left = x[rows, feature[nodes]] <= threshold[nodes]
-        at[rows] = np.where(goes_left, left[nodes], right[nodes])
-        depth[rows] += 1
-        active[rows] = feature[at[rows]] >= 0
-    return depth + average_path(size[at])
+def tree_depth(rows: int) -> int:
+    return math.ceil(math.log2(max(rows, 2)))
+
+
+def grow_forest(x: np.ndarray, trees: int, rows: int,
+                rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Isolation trees over random samples of `rows` vectors, all grown level by level.
+
+    Trees are complete binary heaps laid out one after the other: node i has the children
+    2i+1 and 2i+2. Returns feature (-1 for leaves), threshold and size per node.
+    """
+    depth = tree_depth(rows)
+    nodes = 2 ** (depth + 1) - 1
+    feature = np.full(trees * nodes, -1, dtype=np.int32)
+    threshold = np.zeros(trees * nodes)
+    size = np.zeros(trees * nodes, dtype=np.int32)
+    picks = np.argsort(rng.random((trees, len(x))), axis=1)[:, :rows]
+    points = x[picks].reshape(trees * rows, x.shape[1])
+    base = np.repeat(np.arange(trees) * nodes, rows)
+    at = base.copy()
+    moving = np.arange(len(at))
+    for level in range(depth + 1):
+        order = moving[np.argsort(at[moving], kind="stable")]
+        here, starts, counts = np.unique(at[order], return_index=True, return_counts=True)
+        size[here] = counts
+        if level == depth or not len(order):
+            break
+        low = np.minimum.reduceat(points[order], starts, axis=0)
+        high = np.maximum.reduceat(points[order], starts, axis=0)
+        varies = high > low
+        chosen = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        pick = np.arange(len(here))
+        cut = low[pick, chosen] + rng.random(len(here)) * (high - low)[pick, chosen]
+        splits = varies.any(axis=1)
+        feature[here[splits]] = chosen[splits]
+        threshold[here[splits]] = cut[splits]
+        node = np.repeat(pick, counts)
+        moving = order[splits[node]]
+        node = node[splits[node]]
+        goes_right = points[moving, chosen[node]] > cut[node]
+        at[moving] = base[moving] + 2 * (at[moving] - base[moving]) + 1 + goes_right
+    return feature, threshold, size
+
+
+def mean_path_lengths(x: np.ndarray, trees: int, rows: int, feature: np.ndarray,
+                      threshold: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean path length of every row of `x` over all trees, corrected for leaf sizes."""
+    depth = tree_depth(rows)
+    base = np.arange(trees) * (2 ** (depth + 1) - 1)
+    at = np.zeros((len(x), trees), dtype=np.int64)
+    steps = np.zeros((len(x), trees))
+    line = np.arange(len(x))[:, None]
+    for _ in range(depth):
+        f = feature[base + at]
+        inner = f >= 0
+        if not inner.any():
+            break
+        goes_right = x[line, np.maximum(f, 0)] > threshold[base + at]
+        at = np.where(inner, 2 * at + 1 + goes_right, at)
+        steps += inner
+    return (steps + average_path(size[base + at])).mean(axis=1)
 
 
 def training_points(features: DataFrame, settings: DetectionSettings = DetectionSettings()) -> DataFrame:
@@ -116,68 +135,55 @@ def training_store(features: DataFrame, points: DataFrame,
 
 def train(store: DataFrame, settings: DetectionSettings = DetectionSettings(),
           metrics: tuple[str, ...] = FEATURES) -> DataFrame:
-    """One row per tree: the node arrays of an isolation tree.
+    """One row per model with the node arrays of all its trees.
 
     A group is one model's training window: at most `training_window / window size` rows.
-    Sampling and splits are seeded by (seed, model, tree), so every run grows the same trees.
+    The random numbers are seeded by the model, so every run grows the same trees.
     """
-    names, seed = list(metrics), settings.seed
-    trees, tree_rows = settings.trees, settings.tree_rows
+    names, seed, trees, tree_rows = list(metrics), settings.seed, settings.trees, settings.tree_rows
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("ts")[names].to_numpy(dtype=float)
         model_id = int(group["model_id"].iloc[0])
-        n = min(tree_rows, len(x))
-        depth = math.ceil(math.log2(max(n, 2)))
-        grown = []
-        for tree in range(trees):
-            rng = np.random.default_rng([seed, tree, model_id & 0xFFFFFFFF])
-            sample = x[np.sort(rng.choice(len(x), size=n, replace=False))]
-            grown.append({"tree": tree, **grow_tree(sample, rng, depth)})
-        out = pd.DataFrame(grown)
-        return out.assign(service=group["service"].iloc[0], model_id=model_id, rows=n)
+        rows = min(tree_rows, len(x))
+        rng = np.random.default_rng([seed, model_id & 0xFFFFFFFF])
+        feature, threshold, size = grow_forest(x, trees, rows, rng)
+        return pd.DataFrame([{
+            "service": group["service"].iloc[0], "model_id": model_id, "trees": trees,
+            "rows": rows, "feature": feature, "threshold": threshold, "size": size}])
 
     fields = store.select("service", "model_id", "ts", *names)
-    return fields.groupBy("service", "model_id").applyInPandas(fit, TREE_SCHEMA)
+    return fields.groupBy("service", "model_id").applyInPandas(fit, MODEL_SCHEMA)
 
 
-def _anomaly_scores(rows: DataFrame, trees: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+def _anomaly_scores(rows: DataFrame, models: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """score_samples of each row (service, ts, model_id, metrics): -2^(-mean path / c).
 
-    Rows are packed into blocks of bounded size and joined with their packed model (a fixed
-    number of bounded trees), so that a model is shipped once per block and not per row.
+    Rows are packed into blocks of bounded size and joined with their model, so that a model
+    is shipped once per block and not once per row.
     """
     names = list(metrics)
     block_rows = 5_000
-    per_day = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))
-    order = Window.partitionBy("service", "model_id", "_day").orderBy("ts")
+    span = F.floor(F.unix_micros("ts") / F.lit(7 * 86_400_000_000))
+    order = Window.partitionBy("service", "model_id", "_span").orderBy("ts")
     blocks = (
-        rows.withColumn("_day", per_day)
+        rows.withColumn("_span", span)
         .withColumn("_part", F.floor((F.row_number().over(order) - 1) / block_rows))
-        .groupBy("service", "model_id", "_day", "_part")
+        .groupBy("service", "model_id", "_span", "_part")
         .agg(F.collect_list(F.struct("ts", *names)).alias("block"))
         .select("service", "model_id", "block")
     )
-    node_arrays = ("feature", "threshold", "left", "right", "size")
-    models = trees.groupBy("service", "model_id").agg(
-        F.max("rows").alias("rows"),
-        F.array_sort(F.collect_list(F.struct("tree", *node_arrays))).alias("trees"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
             for r in batch.itertuples(index=False):
                 x = np.array([[v[n] for n in names] for v in r.block], dtype=float)
-                total = np.zeros(len(x))
-                for tree in r.trees:
-                    total += path_lengths(x, *(np.asarray(tree[a]) for a in node_arrays))
+                path = mean_path_lengths(x, r.trees, r.rows, np.asarray(r.feature),
+                                         np.asarray(r.threshold), np.asarray(r.size))
                 c = max(float(average_path(r.rows)), 1.0)
-                parts.append(pd.DataFrame({
+                yield pd.DataFrame({
                     "service": r.service, "ts": [v["ts"] for v in r.block],
-                    "model_id": r.model_id,
-                    "raw_score": -np.power(2.0, -total / len(r.trees) / c)}))
-            if parts:
-                yield pd.concat(parts)
+                    "model_id": r.model_id, "raw_score": -np.power(2.0, -path / c)})
 
     return blocks.join(models, ["service", "model_id"]).mapInPandas(
         measure, "service string, ts timestamp, model_id bigint, raw_score double")
@@ -188,11 +194,13 @@ def score(features: DataFrame, settings: DetectionSettings = DetectionSettings()
     """(service, ts, forest_score, tier2_fired, model_available) for every feature vector.
 
     The score is relative to the contamination quantile of the model's own training
-    scores; rows before the first model have no score and never fire.
+    scores; rows before the first model have no score and never fire. `features` is read
+    several times and should be a stored table.
     """
-    points = training_points(features, settings)
+    # Both intermediate tables are small and used more than once.
+    points = materialise(training_points(features, settings), "training-points")
     store = training_store(features, points, settings)
-    trees = train(store, settings, metrics)
+    models = train(store, settings, metrics)
     # Newest model that existed at the time of the row.
     w = (Window.partitionBy("service").orderBy("ts")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -205,7 +213,7 @@ def score(features: DataFrame, settings: DetectionSettings = DetectionSettings()
         store.select("service", "ts", "model_id", *metrics)
         .unionByName(live.select("service", "ts", "model_id", *metrics)).distinct()
     )
-    scored = _anomaly_scores(everything, trees, metrics)
+    scored = materialise(_anomaly_scores(everything, models, metrics), "forest-scores")
     offsets = (
         scored.join(store.select("service", "ts", "model_id"), ["service", "ts", "model_id"], "left_semi")
         .groupBy("service", "model_id")

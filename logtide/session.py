@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Applied only where the caller has not chosen a value. Nothing here depends on the
 # size of the cluster: adaptive execution picks the reduce-side parallelism.
@@ -44,3 +44,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "logtide-scratch")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result once to the shared scratch folder and read it back.
+
+    For results that several later steps use: they then read a small table that survives
+    lost executors, instead of each computing it again from the raw rows.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
