@@ -109,3 +109,28 @@ def scrub_map(values: Column) -> Column:
 
 def count_map(values: Column) -> Column:
     return _sum_over(F.map_values(values), scrub_count)
+
+
+# The event columns that may hold raw text. The owner is left as it is.
+EVENT_COLUMNS = ("log_samples", "top_log_samples", "correlated_anomalies", "recent_deployments")
+
+
+def scrub_events(events: DataFrame, columns: tuple[str, ...] = EVENT_COLUMNS,
+                 count: str = "pii_scrub_count") -> DataFrame:
+    """Redact every text field of the list columns and add the replacements to `count`."""
+    total, cleaned = F.coalesce(F.col(count), F.lit(0)), {}
+    for name in columns:
+        if name not in events.columns:
+            continue
+        fields = events.schema[name].dataType.elementType.fields
+        texts = [f.name for f in fields if f.dataType.typeName() == "string"]
+        others = [f.name for f in fields if f.name not in texts]
+        cleaned[name] = scrub_records(F.col(name), texts, others)
+        total = total + count_records(F.col(name), texts)
+    return events.withColumns({**cleaned, count: total})
+
+
+def audit(df: DataFrame, text: str) -> DataFrame:
+    """Matches by type over all rows, on the original text: (type, matches)."""
+    sums = df.agg(*[F.sum(c).cast("bigint").alias(n) for n, c in count_by_type(F.col(text)).items()])
+    return sums.unpivot([], list(PATTERNS), "type", "matches")
