@@ -187,11 +187,11 @@ decisions AS (
 
 def cooldown_sql(seconds: int) -> str:
     return v.with_ctes(v.LOGS, v.ALERTS) + f""", passed AS (
-  SELECT service, min(epoch_us(ts)) AS at FROM alerts GROUP BY service
+  SELECT service, min(epoch_us(ts)) AS passed_at FROM alerts GROUP BY service
   UNION ALL
-  SELECT p.service, (SELECT min(epoch_us(a.ts)) FROM alerts a WHERE a.service = p.service AND epoch_us(a.ts) >= p.at + {seconds * 1_000_000})
-  FROM passed p WHERE p.at IS NOT NULL)
-SELECT a.event_id, a.service, p.at IS NOT NULL AS allowed FROM alerts a LEFT JOIN passed p ON p.service = a.service AND p.at = epoch_us(a.ts)"""
+  SELECT p.service, (SELECT min(epoch_us(a.ts)) FROM alerts a WHERE a.service = p.service AND epoch_us(a.ts) >= p.passed_at + {seconds * 1_000_000})
+  FROM passed p WHERE p.passed_at IS NOT NULL)
+SELECT a.event_id, a.service, p.passed_at IS NOT NULL AS allowed FROM alerts a LEFT JOIN passed p ON p.service = a.service AND p.passed_at = epoch_us(a.ts)"""
 
 
 def limiter_sql(source: str, key: str, s: LimiterSettings) -> str:
