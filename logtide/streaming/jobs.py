@@ -1,24 +1,27 @@
 """Streaming jobs.
 
 State lives in the RocksDB state store under the checkpoint location. Writes are keyed
-upserts or appends driven by the batch id, so a restarted batch gives the same table.
+upserts or partitions named by the batch id, so a restarted batch gives the same tables.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logtide.functions.levels import is_error
-from logtide.operators.parse import known_services, normalise, parse_failures, parse_messages, parsed_records
+from logtide.operators.parse import (
+    known_services,
+    normalise,
+    parse_failures,
+    parse_messages,
+    parsed_records,
+)
 from logtide.operators.windows import document_keys, rate, window_end, window_start
-from logtide.settings import BaselineSettings, LimiterSettings, ALERT_LIMITER, WindowSettings
-from logtide.sources.writers import table_exists, upsert
+from logtide.settings import WindowSettings
+from logtide.sources.writers import dead_letters, json_messages, table_exists, upsert
 
 SECOND = 1_000_000
 
@@ -33,8 +36,8 @@ def window_stream(logs: DataFrame, settings: WindowSettings = WindowSettings(),
     """
     latency = F.col("latency_ms")
     known = known_services(logs).withWatermark(time_col, settings.watermark)
-    rank = {p: F.percentile_disc(latency, F.lit(p / 100.0)) if hasattr(F, "percentile_disc") else
-            F.expr(f"percentile_disc({p / 100.0}) within group (order by latency_ms)") for p in (50, 95, 99)}
+    rank = {p: F.expr(f"percentile_disc({p / 100.0}) within group (order by latency_ms)")
+            for p in (50, 95, 99)}
     counted = known.groupBy(F.window(time_col, settings.duration), "service").agg(
         F.count("*").alias("request_volume"),
         F.count_if(is_error(F.col("level"))).alias("error_count"),
@@ -66,3 +69,67 @@ def upsert_windows(batch: DataFrame, batch_id: int, path: str) -> None:
     """`foreachBatch` body: merge updated windows into the table, newest batch wins."""
     rows = document_keys(batch).withColumn("seq", F.lit(batch_id).cast("bigint"))
     upsert(rows, path, ["service", "window_start"], ["seq"], "index_date")
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write the rows of a batch into its own partition; repeating the batch replaces it."""
+    rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def high_water(batch: DataFrame, batch_id: int, path: str) -> int | None:
+    """Largest event time (microseconds) of the batches before this one."""
+    spark = batch.sparkSession
+    if not table_exists(spark, path):
+        return None
+    # One row per batch; the answer is a single number.
+    marks = spark.read.schema("max_us bigint, batch_id bigint").parquet(path)
+    return marks.filter(F.col("batch_id") < batch_id).agg(F.max("max_us")).first()[0]
+
+
+def ingest_batch(tables: str, settings: WindowSettings = WindowSettings()) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body: raw messages to logs and dead letters.
+
+    Messages that do not parse, and events whose window had closed before the batch, go to
+    `dead_letters`; all other events to `logs`. Spark drops late rows inside stateful
+    operators without a trace, so they are split off here, against a stored high-water mark.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        messages = parse_messages(batch).persist()
+        try:
+            logs = normalise(parsed_records(messages)).drop("value", "key", "partition", "offset")
+            mark = high_water(batch, batch_id, f"{tables}/high_water")
+            us = F.unix_micros(window_end(window_start(F.col("event_time"), settings.size), settings.size))
+            late = F.lit(False) if mark is None else (
+                us + settings.allowed_lateness * SECOND <= F.lit(mark - settings.out_of_orderness * SECOND))
+            write_batch(logs.filter(~late), batch_id, f"{tables}/logs")
+            letters = dead_letters(parse_failures(messages), F.col("parse_error"), F.col("value"))
+            late_rows = logs.filter(late)
+            letters = letters.unionByName(
+                json_messages(late_rows).select(F.lit("late event").alias("reason"), "value"))
+            write_batch(letters, batch_id, f"{tables}/dead_letters")
+            write_batch(logs.agg(F.max(F.unix_micros("event_time")).alias("max_us")), batch_id,
+                        f"{tables}/high_water")
+        finally:
+            messages.unpersist()
+
+    return body
+
+
+def start_ingest(messages: DataFrame, tables: str, checkpoint: str,
+                 settings: WindowSettings = WindowSettings(), available_now: bool = False):
+    """Start the ingest stream from messages in the broker layout."""
+    writer = messages.writeStream.foreachBatch(ingest_batch(tables, settings)).option(
+        "checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_windows(logs: DataFrame, path: str, checkpoint: str,
+                  settings: WindowSettings = WindowSettings(), available_now: bool = False):
+    """Start the window stream: every change of a window is upserted into the table at `path`."""
+    writer = (
+        window_stream(logs, settings).writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: upsert_windows(batch, batch_id, path))
+        .option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
