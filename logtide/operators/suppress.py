@@ -32,7 +32,7 @@ def _first_after(times: np.ndarray, lo: int, bound: int) -> int:
 
 def _cooldown_step(cooldown_us: int):
     def step(state: _Last, rows: Arrays) -> Arrays:
-        times = rows["_us"]
+        times = rows["at_us"]
         allowed = np.zeros(len(times), dtype=bool)
         # Jump from one allowed alert to the next: everything between is dropped.
         i = 0 if state.at is None else _first_after(times, 0, state.at + cooldown_us)
@@ -55,11 +55,11 @@ def cooldown(alerts: DataFrame, seconds: int, key: str = "service", time_col: st
 
     A dropped alert does not extend the cooldown.
     """
-    staged = quiet_islands(alerts.withColumn("_us", F.unix_micros(time_col)), [key], "_us",
+    staged = quiet_islands(alerts.withColumn("at_us", F.unix_micros(time_col)), [key], "at_us",
                            seconds * SECOND, "_island")
     schema = _schema_of(staged) + ", allowed boolean"
-    return ordered_fold(staged, [key, "_island"], ["_us", *(tie_break or [])], _Last,
-                        _cooldown_step(seconds * SECOND), schema).drop("_us", "_island")
+    return ordered_fold(staged, [key, "_island"], ["at_us", *(tie_break or [])], _Last,
+                        _cooldown_step(seconds * SECOND), schema).drop("at_us", "_island")
 
 
 class _Storm:

@@ -74,7 +74,7 @@ class CooldownProcessor(StatefulProcessor):
         state = _Last()
         if self._state.exists():
             state.at = self._state.get()[0]
-        out = self._step(state, _arrays(_in_order(rows, ["_us", "id"])))
+        out = self._step(state, _arrays(_in_order(rows, ["at_us", "id"])))
         if state.at is not None:
             self._state.update((int(state.at),))
         yield pd.DataFrame(out)[self._columns]
@@ -114,7 +114,7 @@ def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSet
 def cooldown_stream(alerts: DataFrame, seconds: int = 600, time_col: str = "ts",
                     id_col: str = "event_id") -> DataFrame:
     """Cooldown decisions (service, id, allowed) on a stream of alerts."""
-    narrow = alerts.select("service", F.unix_micros(time_col).alias("_us"), F.col(id_col).alias("id"))
+    narrow = alerts.select("service", F.unix_micros(time_col).alias("at_us"), F.col(id_col).alias("id"))
     id_type = narrow.schema["id"].dataType.simpleString()
     return narrow.groupBy("service").transformWithStateInPandas(
         CooldownProcessor(seconds, ["service", "id", "allowed"]),
