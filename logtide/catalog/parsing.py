@@ -214,9 +214,11 @@ def text_levels(spark, folder):
 
 
 def collector(spark, folder):
-    docs = p.collect_fields(parsed(spark, folder).select("event_id", "doc"))
+    docs = p.collect_fields(parsed(spark, folder).select("event_id", "value", "doc"))
     lines = p.collect_fields(
-        plain_lines(spark, folder).select("event_id", F.lit(None).cast("variant").alias("doc"), "line"), line="line")
+        plain_lines(spark, folder).select(
+        "event_id", F.lit(None).cast("string").alias("value"), F.lit(None).cast("variant").alias("doc"), "line"),
+        line="line")
     columns = ["event_id", F.col("@timestamp").alias("ts_text"), "message", "log_level", "logger", "trace_id",
                "span_id", "error"]
     return docs.select(F.lit("json").alias("origin"), *columns).unionByName(

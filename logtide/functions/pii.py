@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,72 +41,105 @@ PATTERNS = {
 }
 
 
-def scrub_stages(text: Column) -> list[Column]:
-    """The text before the first pattern, and after each pattern."""
-    stages = [text]
-    for pattern, label in PATTERNS.values():
-        stages.append(F.regexp_replace(stages[-1], pattern, label))
-    return stages
+# Cheap tests that every match of the pattern must pass. Most texts hold no personal data and
+# skip the expensive pattern.
+GUARDS = {
+    "credit_card": "[0-9]{4}",
+    "email": "@",
+    "phone": r"(?U)\d{3}[-.\s]\d{4}",
+    "ipv4": r"(?U)\d\.\d",
+    "ipv6": "::|[0-9a-fA-F]:[0-9a-fA-F]{1,4}:",
+}
+
+
+def replace_matches(text: Column, name: str) -> Column:
+    pattern, label = PATTERNS[name]
+    return F.when(text.rlike(GUARDS[name]), F.regexp_replace(text, pattern, label)).otherwise(text)
+
+
+def count_matches(text: Column, name: str) -> Column:
+    found = F.regexp_count(text, F.lit(PATTERNS[name][0]))
+    return F.when(text.rlike(GUARDS[name]), found).otherwise(F.lit(0))
+
+
+def _clean_array(records: Column, texts: list[str], others: list[str]) -> Column:
+    """Array of structs with the text fields redacted and `_n`, the replacements made.
+
+    One pass over the array per pattern: inside a pass the text is a plain value, so the
+    test, the replacement and the count do not repeat the earlier patterns.
+    """
+    def apply(array: Column, name: str) -> Column:
+        def one(r: Column) -> Column:
+            n = r["_n"]
+            for f in texts:
+                n = n + F.coalesce(count_matches(r[f], name), F.lit(0))
+            return F.struct(*[replace_matches(r[f], name).alias(f) for f in texts],
+                            *[r[f].alias(f) for f in others], n.alias("_n"))
+
+        return F.transform(array, one)
+
+    out = F.transform(records, lambda r: F.struct(
+        *[r[f].alias(f) for f in [*texts, *others]], F.lit(0).alias("_n")))
+    for name in PATTERNS:
+        out = apply(out, name)
+    return out
+
+
+def _clean_text(text: Column) -> Column:
+    return _clean_array(F.array(F.struct(text.alias("text"))), ["text"], [])[0]
 
 
 def scrub_text(text: Column) -> Column:
-    return scrub_stages(text)[-1]
+    return _clean_text(text)["text"]
+
+
+def scrub_count(text: Column) -> Column:
+    """Replacements made by `scrub_text`: each pattern counts on the text left by the earlier ones."""
+    return _clean_text(text)["_n"]
 
 
 def scrub_column(df: DataFrame, text: str, out: str, count_out: str) -> DataFrame:
     """Add the redacted text and the replacement count, one projection per pattern."""
     staged = df.withColumn(out, F.col(text)).withColumn(count_out, F.lit(0))
-    for pattern, label in PATTERNS.values():
+    for name in PATTERNS:
         staged = staged.withColumns({
-            out: F.regexp_replace(out, pattern, label),
-            count_out: F.col(count_out) + F.coalesce(F.regexp_count(out, F.lit(pattern)), F.lit(0)),
+            out: replace_matches(F.col(out), name),
+            count_out: F.col(count_out) + count_matches(F.col(out), name),
         })
     return staged
 
 
-def scrub_count(text: Column) -> Column:
-    """Replacements made by `scrub_text`: each pattern counts on the text left by the earlier ones."""
-    total = F.lit(0)
-    for stage, (pattern, _) in zip(scrub_stages(text), PATTERNS.values()):
-        total = total + F.regexp_count(stage, F.lit(pattern))
-    return F.coalesce(total, F.lit(0))
-
-
 def count_by_type(text: Column) -> dict[str, Column]:
     """Matches of each type on the original text."""
-    return {name: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).alias(name)
-            for name, (pattern, _) in PATTERNS.items()}
+    return {name: count_matches(text, name).alias(name) for name in PATTERNS}
 
 
-def scrub_records(records: Column, texts: list[str], others: list[str]) -> Column:
-    """Array of structs with the text fields redacted and the other fields as they are."""
-    def clean(r: Column) -> Column:
-        return F.struct(*[scrub_text(r[f]).alias(f) for f in texts], *[r[f].alias(f) for f in others])
+def _sum_n(array: Column) -> Column:
+    return F.coalesce(F.aggregate(array, F.lit(0), lambda acc, r: acc + r["_n"]), F.lit(0))
+
 
-    return F.transform(records, clean)
+def _without_n(array: Column, fields: list[str]) -> Column:
+    return F.transform(array, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
 
 
-def _sum_over(array: Column, count: Callable[[Column], Column]) -> Column:
-    return F.coalesce(F.aggregate(array, F.lit(0), lambda acc, x: acc + count(x)), F.lit(0))
+def scrub_records(records: Column, texts: list[str], others: list[str]) -> Column:
+    """Array of structs with the text fields redacted and the other fields as they are."""
+    return _without_n(_clean_array(records, texts, others), [*texts, *others])
 
 
 def count_records(records: Column, texts: list[str]) -> Column:
-    def one(r: Column) -> Column:
-        total = F.lit(0)
-        for f in texts:
-            total = total + scrub_count(r[f])
-        return total
-
-    return _sum_over(records, one)
+    return _sum_n(_clean_array(records, texts, []))
 
 
 def scrub_map(values: Column) -> Column:
     """Map with every value redacted; keys stay."""
-    return F.transform_values(values, lambda _, v: scrub_text(v))
+    entries = F.transform(F.map_entries(values), lambda e: F.struct(e["key"], e["value"].alias("text")))
+    clean = scrub_records(entries, ["text"], ["key"])
+    return F.map_from_entries(F.transform(clean, lambda r: F.struct(r["key"], r["text"])))
 
 
 def count_map(values: Column) -> Column:
-    return _sum_over(F.map_values(values), scrub_count)
+    return count_records(F.transform(F.map_values(values), lambda x: F.struct(x.alias("text"))), ["text"])
 
 
 # The event columns that may hold raw text. The owner is left as it is.
@@ -118,16 +149,20 @@ EVENT_COLUMNS = ("log_samples", "top_log_samples", "correlated_anomalies", "rece
 def scrub_events(events: DataFrame, columns: tuple[str, ...] = EVENT_COLUMNS,
                  count: str = "pii_scrub_count") -> DataFrame:
     """Redact every text field of the list columns and add the replacements to `count`."""
-    total, cleaned = F.coalesce(F.col(count), F.lit(0)), {}
+    fields, staged = {}, {}
     for name in columns:
-        if name not in events.columns:
-            continue
-        fields = events.schema[name].dataType.elementType.fields
-        texts = [f.name for f in fields if f.dataType.typeName() == "string"]
-        others = [f.name for f in fields if f.name not in texts]
-        cleaned[name] = scrub_records(F.col(name), texts, others)
-        total = total + count_records(F.col(name), texts)
-    return events.withColumns({**cleaned, count: total})
+        if name in events.columns:
+            kinds = events.schema[name].dataType.elementType.fields
+            fields[name] = [f.name for f in kinds]
+            texts = [f.name for f in kinds if f.dataType.typeName() == "string"]
+            others = [f for f in fields[name] if f not in texts]
+            staged[name] = _clean_array(F.col(name), texts, others)
+    total = F.coalesce(F.col(count), F.lit(0))
+    for name in staged:
+        total = total + _sum_n(F.col(f"_clean_{name}"))
+    cleaned = events.withColumns({f"_clean_{n}": c for n, c in staged.items()}).withColumns({
+        count: total, **{n: _without_n(F.col(f"_clean_{n}"), fields[n]) for n in staged}})
+    return cleaned.drop(*[f"_clean_{n}" for n in staged])
 
 
 def audit(df: DataFrame, text: str) -> DataFrame:

@@ -38,10 +38,20 @@ def text_at(doc: Column, key: str) -> Column:
     return F.try_variant_get(doc, json_path(key), "string")
 
 
-def number_at(doc: Column, path: str) -> Column:
-    """Field as double, only when it is a JSON number."""
+def number_text_at(doc: Column, path: str) -> Column:
+    """Text of a field that is a JSON number; null for anything else."""
     raw = F.to_json(F.try_variant_get(doc, path, "variant"))
-    return F.when(raw.rlike(r"^-?[0-9]"), raw.try_cast("double"))
+    return F.nullif(F.regexp_extract(raw, "^-?[0-9].*$", 0), F.lit(""))
+
+
+def text_fields(df: DataFrame, json: str, keys: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """Top-level fields of a JSON text column, all read in one pass over the text.
+
+    Returns the frame with helper columns named `_field_<n>` and the column of each key.
+    """
+    names = [f"_field_{n}" for n in range(len(keys))]
+    out = df.select("*", F.json_tuple(json, *keys).alias(*names))
+    return out, {key: F.col(name) for key, name in zip(keys, names)}
 
 
 def parse_messages(df: DataFrame, value: str = "value", strict_types: bool = False) -> DataFrame:
@@ -84,7 +94,7 @@ def latency_ms(doc: Column) -> Column:
     paths = ["$.http.duration_ms", "$.extra.http.duration_ms"]
     for key in LATENCY_KEYS:
         paths += [f"$.{key}", f"$.extra.{key}"]
-    return F.coalesce(*[number_at(doc, p) for p in paths]).try_cast("bigint")
+    return F.coalesce(*[number_text_at(doc, p) for p in paths]).try_cast("double").try_cast("bigint")
 
 
 def normalise(records: DataFrame, ingest_time: str = "timestamp", value: str = "value") -> DataFrame:
@@ -93,13 +103,13 @@ def normalise(records: DataFrame, ingest_time: str = "timestamp", value: str = "
     `degraded` marks rows whose time had to fall back to the ingest time or whose level
     was not recognised.
     """
-    doc = F.col("doc")
+    read, fields = text_fields(records, value, TEXT_KEYS)
 
     def any_of(*keys: str, default: str = "") -> Column:
-        return first_present(*[text_at(doc, k) for k in keys], default=default)
+        return first_present(*[fields[k] for k in keys], default=default)
 
-    staged = records.select(
-        "*",
+    staged = read.select(
+        *[c for c in records.columns if c != "doc"],
         any_of(*TIME_KEYS).alias("_time_text"),
         canonical_level(any_of(*LEVEL_KEYS)).alias("level"),
         any_of("service_name", "service", default=UNKNOWN_SERVICE).alias("service"),
@@ -110,11 +120,11 @@ def normalise(records: DataFrame, ingest_time: str = "timestamp", value: str = "
         any_of("trace_id").alias("trace_id"),
         any_of("span_id").alias("span_id"),
         any_of("error").alias("error"),
-        latency_ms(doc).alias("latency_ms"),
+        latency_ms(F.col("doc")).alias("latency_ms"),
         F.col(value).alias("raw"),
     )
     parsed = event_time(F.col("_time_text"), F.lit(None).cast("timestamp"))
-    staged = staged.withColumn("_parsed_time", parsed).drop("doc")
+    staged = staged.withColumn("_parsed_time", parsed)
     resolved = F.coalesce(F.col("_parsed_time"), F.col(ingest_time))
     return (
         staged.withColumn("event_time", resolved)
@@ -185,20 +195,28 @@ def parse_plaintext(line: Column) -> Column:
     )
 
 
-def collect_fields(df: DataFrame, doc: str = "doc", line: str | None = None,
+# Field names the collector reads from a document.
+COLLECTOR_KEYS = (
+    "timestamp", "@timestamp", "time", "Time", "message", "msg", "log", "level", "severity", "log_level",
+    "lvl", "logger", "logger_name", "source", "trace_id", "traceId", "trace", "span_id", "spanId",
+    "error", "exception", "stack_trace", "source_file",
+)
+
+
+def collect_fields(df: DataFrame, json: str = "value", doc: str = "doc", line: str | None = None,
                    source_file: str | None = None) -> DataFrame:
-    """Collector layout for a parsed document, or for a plain line where one is present.
+    """Collector layout for a JSON document, or for a plain line where one is present.
 
     Here an empty text counts as present, unlike in `normalise`.
     """
-    d = F.col(doc)
-    raw_line = F.coalesce(F.col(line), text_at(d, "log")) if line else text_at(d, "log")
-    staged = df.withColumn("_line", raw_line).withColumn(
+    read, fields = text_fields(df, json, COLLECTOR_KEYS)
+    raw_line = F.coalesce(F.col(line), fields["log"]) if line else fields["log"]
+    staged = read.withColumn("_line", raw_line).withColumn(
         "_plain", F.when(F.col("_line").isNotNull(), parse_plaintext(F.col("_line"))))
     is_line = F.col("_line").isNotNull()
 
     def field(*keys: str, plain: str | None = None) -> Column:
-        from_doc = F.coalesce(*[text_at(d, k) for k in keys])
+        from_doc = F.coalesce(*[fields[k] for k in keys])
         from_line = F.col(f"_plain.{plain}") if plain else F.lit(None).cast("string")
         return F.when(is_line, from_line).otherwise(from_doc)
 
@@ -208,11 +226,11 @@ def collect_fields(df: DataFrame, doc: str = "doc", line: str | None = None,
         F.lit("INFO"),
     )
     blank = F.lit("")
-    path = F.col(source_file) if source_file else text_at(d, "source_file")
+    path = F.col(source_file) if source_file else fields["source_file"]
     return staged.select(
         *df.columns,
         F.coalesce(field("timestamp", "@timestamp", "time", plain="timestamp"),
-                   text_at(d, "Time"), blank).alias("@timestamp"),
+                   fields["Time"], blank).alias("@timestamp"),
         F.coalesce(field("message", "msg", plain="message"), F.col("_line"), blank).alias("message"),
         collector_level(level).alias("log_level"),
         F.coalesce(field("logger", "logger_name", "source", plain="logger"), blank).alias("logger"),
@@ -220,7 +238,7 @@ def collect_fields(df: DataFrame, doc: str = "doc", line: str | None = None,
         F.coalesce(field("span_id", "spanId"), blank).alias("span_id"),
         F.coalesce(field("error", "exception", "stack_trace"), blank).alias("error"),
         F.coalesce(path, blank).alias("source_file"),
-        overflow_fields(d).alias("extra"),
+        overflow_fields(F.col(doc)).alias("extra"),
     )
 
 
