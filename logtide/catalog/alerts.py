@@ -67,8 +67,7 @@ def clear_times(spark, folder):
 def overrides(spark, folder):
     decisions = suppress(v.alerts(spark, folder), SCALED, clears=clear_times(spark, folder))
     as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return remaining_ttl(decisions, as_of).select(
-        "service", F.round("cooldown_ttl", 3).alias("cooldown_ttl"), F.round("storm_ttl", 3).alias("storm_ttl"))
+    return remaining_ttl(decisions, as_of).select("scope", "service", F.round("ttl", 3).alias("ttl"))
 
 
 def cleared(spark, folder):
@@ -257,9 +256,9 @@ GROUP BY a.event_id, a.service""",
     "A4_suppression_counts": _storms(SCALED) + """SELECT service, reason, count(*) AS suppressed FROM decisions
 WHERE reason IN ('cooldown', 'storm_active') GROUP BY ALL""",
     "A5_remaining_ttl": _storms(SCALED, True) + f""", past AS (SELECT * FROM decisions WHERE ts_us <= {base.AS_OF_US} AND reason <> 'clear')
-SELECT service, round(greatest(0.0, (max(cooled[list_position({NAMES}, service)]) - {base.AS_OF_US}) / 1000000.0), 3) AS cooldown_ttl,
-  round((SELECT greatest(0.0, (max(greatest(storm_until, ts_us)) - {base.AS_OF_US}) / 1000000.0) FROM past), 3) AS storm_ttl
-FROM past GROUP BY service""",
+SELECT 'cooldown' AS scope, service, round(greatest(0.0, (max(cooled[list_position({NAMES}, service)]) - {base.AS_OF_US}) / 1000000.0), 3) AS ttl
+FROM past GROUP BY service
+UNION ALL SELECT 'storm', 'system', round(greatest(0.0, (max(greatest(storm_until, ts_us)) - {base.AS_OF_US}) / 1000000.0), 3) FROM past""",
     "A5_cleared_storms": _storms(SCALED, True) + STORM_COLUMNS,
     "E1_severity": base.FULL + """SELECT service, ts_us, anomaly_type, CASE WHEN anomaly_type = 'system_wide_incident' OR max_z > 5 THEN 'P1'
   WHEN anomaly_type = 'both_tiers' THEN 'P2' ELSE 'P3' END AS severity FROM (

@@ -59,14 +59,6 @@ def normalise_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, uuid, "{id}"), r"/\d+", "/{id}")
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
-def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us)
-
-
 def number_text(value: Column) -> Column:
     """Shortest decimal text of a double, positional between 1e-4 and 1e16."""
     plain = value.cast("string")

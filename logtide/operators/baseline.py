@@ -99,7 +99,8 @@ def first_seen(df: DataFrame, time_col: str = "ts") -> DataFrame:
 
 
 def with_first_seen(df: DataFrame, time_col: str = "ts") -> DataFrame:
-    return df.join(first_seen(df, time_col), "service")
+    """Add `first_seen` to window rows, without computing them a second time."""
+    return df.withColumn("first_seen", F.min(time_col).over(Window.partitionBy("service")))
 
 
 def is_learning(ts: Column, seen: Column, settings: BaselineSettings = BaselineSettings()) -> Column:

@@ -73,18 +73,17 @@ def with_owner(df: DataFrame, registry: DataFrame, service: str = "service",
                out: str = "oncall_owner") -> DataFrame:
     """Add the owner of each service, else the default entry, else null.
 
-    The registry is joined twice without a broadcast hint: Spark broadcasts it when its
-    measured size is below the threshold.
+    The first join finds the services that have an entry of their own, the second fetches the
+    owner under that name or under `default`. There is no broadcast hint: Spark broadcasts
+    the registry when its measured size is below the threshold.
     """
-    named = registry.filter(F.col("service") != "default")
-    default = registry.filter(F.col("service") == "default").select(
-        F.lit(True).alias("_always"), F.col("owner").alias("_default"))
+    names = registry.filter(F.col("service") != "default").select(F.col("service").alias("_name"))
+    owners = registry.select(F.col("service").alias("_owner_key"), F.col("owner").alias(out))
     return (
-        df.join(named.select(F.col("service").alias(service), F.col("owner").alias("_own")), service, "left")
-        .withColumn("_always", F.lit(True))
-        .join(default, "_always", "left")
-        .withColumn(out, F.coalesce("_own", "_default"))
-        .drop("_own", "_default", "_always")
+        df.join(names, F.col(service) == F.col("_name"), "left")
+        .withColumn("_key", F.coalesce("_name", F.lit("default")))
+        .join(owners, F.col("_key") == F.col("_owner_key"), "left")
+        .drop("_name", "_key", "_owner_key")
     )
 
 

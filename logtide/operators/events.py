@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.scalars import iso_utc
 from logtide.operators.suppress import suppress
+from logtide.session import materialise
 from logtide.settings import SuppressionSettings
 
 # Fixed values.
@@ -59,10 +60,11 @@ def emit_events(detections: DataFrame, samples: DataFrame | None = None,
                 settings: SuppressionSettings = SuppressionSettings()) -> DataFrame:
     """Detections to events: keep anomalies, suppress, build.
 
-    `samples` (service, ts, top_log_samples) is optional.
+    `samples` (service, ts, top_log_samples) is optional. The anomalies are written out
+    once: they are few, and both the suppression and the events need them.
     """
-    found = detections.filter("is_anomaly").withColumn(
-        "event_id", event_key(F.col("service"), F.col("ts")))
+    found = materialise(detections.filter("is_anomaly").withColumn(
+        "event_id", event_key(F.col("service"), F.col("ts"))), "anomalies")
     decisions = suppress(found, settings).drop("service", "ts")
     decided = found.join(decisions, "event_id")
     no_samples = F.expr("cast(array() as array<struct<message:string,count:bigint>>)")

@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.operators.chunks import quiet_islands
 from logtide.operators.ordered import Arrays, ordered_fold
 from logtide.settings import ALERT_LIMITER, LimiterSettings
 
@@ -54,17 +53,20 @@ def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key:
     island passes, and the island does not enter the fold at all.
     """
     narrow = calls.select(key, F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"))
-    islands = quiet_islands(narrow, [key], "ts_us", (settings.window + 1) * SECOND)
-    # Calls per (key, island, window-wide bucket): two neighbouring buckets cover any window.
-    width = settings.window * SECOND + 1
-    bucketed = islands.withColumn("_bucket", F.floor(F.col("ts_us") / width))
-    per_bucket = bucketed.groupBy(key, "island", "_bucket").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(key, "island").orderBy("_bucket").rowsBetween(-1, 0)
-    contended = (
-        per_bucket.withColumn("_pair", F.sum("_n").over(w))
-        .groupBy(key, "island").agg((F.max("_pair") > settings.limit).alias("_contended"))
+    # Any window touches at most two neighbouring buckets, and an empty bucket clears it.
+    width = (settings.window + 1) * SECOND
+    bucketed = narrow.withColumn("_bucket", F.floor(F.col("ts_us") / width).cast("bigint"))
+    w = Window.partitionBy(key).orderBy("_bucket")
+    adjacent = F.lag("_bucket").over(w) == F.col("_bucket") - 1
+    summary = (
+        bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+        .withColumn("_joined", F.coalesce(adjacent, F.lit(False)))
+        .withColumn("_pair", F.col("_n") + F.when(F.col("_joined"), F.lag("_n").over(w)).otherwise(0))
+        .withColumn("island", F.sum((~F.col("_joined")).cast("bigint")).over(w))
+        .withColumn("_contended", F.max(F.col("_pair") > settings.limit).over(Window.partitionBy(key, "island")))
+        .select(key, "_bucket", "island", "_contended")
     )
-    marked = bucketed.join(contended, [key, "island"])
+    marked = bucketed.join(summary, [key, "_bucket"])
     id_type = narrow.schema["id"].dataType.simpleString()
     key_type = narrow.schema[key].dataType.simpleString()
     base = f"{key} {key_type}, ts_us bigint, id {id_type}, island bigint"
@@ -73,7 +75,7 @@ def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key:
         [key, "island"], ["ts_us", "id"], deque, _limiter_step(settings),
         base + ", allowed boolean, current_count bigint")
     # Free islands: the count is the number of calls in the window, at most two buckets.
-    bound = -(width - 1) if not settings.left_open else -(settings.window * SECOND - 1)
+    bound = -(settings.window * SECOND - (1 if settings.left_open else 0))
     order = Window.partitionBy(key, "island").orderBy("ts_us")
     running = order.rangeBetween(bound, 0)
     same_time = Window.partitionBy(key, "island", "ts_us").orderBy("id")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtide.session import materialise
+
 SECOND = 1_000_000
 
 
@@ -34,9 +36,10 @@ def newest_in_range(
     is open to the past.
     """
     width = bucket_seconds * SECOND
-    wanted = queries.select(
+    wanted = materialise(queries.select(
         key, query_id, F.unix_micros(upper).alias("_hi"),
-        (F.unix_micros(lower) if lower is not None else F.lit(None).cast("bigint")).alias("_lo"))
+        (F.unix_micros(lower) if lower is not None else F.lit(None).cast("bigint")).alias("_lo")),
+        "range-queries")
     numbered_rows = rows.select(
         key, F.unix_micros(row_time).alias("_us"), F.col(tie_break).alias("_tie"),
         F.struct(*payload).alias("_row"))
@@ -45,24 +48,23 @@ def newest_in_range(
         # Rows outside every query's buckets cannot be part of an answer.
         needed = wanted.select(key, F.explode(F.sequence(
             F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_bucket")).distinct()
-        numbered_rows = numbered_rows.join(needed, [key, "_bucket"], "left_semi")
+        # They are a small part of all rows and needed twice: scan the source only once.
+        numbered_rows = materialise(
+            numbered_rows.join(needed, [key, "_bucket"], "left_semi"), "rows-in-range")
 
     # A bound is a point between rows: the upper one after, the lower one before equal times.
     no_row = F.lit(None).cast(numbered_rows.schema["_row"].dataType)
     no_tie = F.lit(None).cast(numbered_rows.schema["_tie"].dataType)
 
-    def points(at: str, side: int) -> DataFrame:
-        return wanted.filter(F.col(at).isNotNull()).select(
-            key, F.col(at).alias("_us"), F.lit(side).alias("_side"), no_tie.alias("_tie"),
-            no_row.alias("_row"), F.col(query_id).alias("_query"))
-
+    bounds = [F.struct(F.col("_hi").alias("_us"), F.lit(1).alias("_side"))]
+    if lower is not None:
+        bounds.append(F.struct(F.col("_lo").alias("_us"), F.lit(-1).alias("_side")))
+    points = wanted.select(key, F.col(query_id).alias("_query"), F.inline(F.array(*bounds))).select(
+        key, "_us", "_side", no_tie.alias("_tie"), no_row.alias("_row"), "_query")
     query_type = queries.schema[query_id].dataType
     merged = numbered_rows.select(
         key, "_us", F.lit(0).alias("_side"), "_tie", "_row",
-        F.lit(None).cast(query_type).alias("_query"))
-    merged = merged.unionByName(points("_hi", 1))
-    if lower is not None:
-        merged = merged.unionByName(points("_lo", -1))
+        F.lit(None).cast(query_type).alias("_query")).unionByName(points)
     merged = merged.withColumn("_bucket", F.floor(F.col("_us") / width))
 
     is_row = (F.col("_side") == 0).cast("bigint")
@@ -79,11 +81,11 @@ def newest_in_range(
         .join(carry, [key, "_bucket"])
         .withColumn("_number", F.col("_local") + F.col("_carry"))
     )
-    bounds = numbered.filter(F.col("_side") != 0).groupBy(key, "_query").agg(
+    found = numbered.filter(F.col("_side") != 0).groupBy(key, "_query").agg(
         F.max(F.when(F.col("_side") == 1, F.col("_number"))).alias("_last"),
         F.coalesce(F.max(F.when(F.col("_side") == -1, F.col("_number"))), F.lit(0)).alias("_before"))
     picks = (
-        bounds.withColumn("_first", F.greatest(F.col("_before"), F.col("_last") - k) + 1)
+        found.withColumn("_first", F.greatest(F.col("_before"), F.col("_last") - k) + 1)
         .filter(F.col("_first") <= F.col("_last"))
         .select(key, "_query", "_last",
                 F.explode(F.sequence("_first", "_last")).alias("_number"))

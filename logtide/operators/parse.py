@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions.levels import canonical_level, collector_level, level_in_text, severity_num
-from logtide.functions.scalars import first_present, is_blank, iso_utc
+from logtide.functions.scalars import first_present, iso_utc
 from logtide.functions.timestamps import event_time
 from logtide.schema import COLLECTOR_RESERVED
 from logtide.settings import UNKNOWN_SERVICE
@@ -316,7 +316,3 @@ def parse_syslog(line: Column) -> Column:
 
 def known_services(df: DataFrame, service: str = "service") -> DataFrame:
     return df.filter(F.col(service) != UNKNOWN_SERVICE)
-
-
-def blank_to_null(value: Column) -> Column:
-    return F.when(~is_blank(value), value)

@@ -173,7 +173,7 @@ def dispatch(routed: DataFrame, limits: DataFrame, id_col: str = "event_id") ->
         .otherwise(F.lit(0).cast("bigint")).alias("digest_pending_count"))
 
 
-def digest_line(df: DataFrame) -> Column:
+def digest_line() -> Column:
     short = F.when(F.length("summary") > 60, F.concat(F.substring("summary", 1, 60), F.lit("…"))
                    ).otherwise(F.col("summary"))
     when = F.replace(F.substring("timestamp", 1, 19), F.lit("T"), F.lit(" "))
@@ -182,16 +182,13 @@ def digest_line(df: DataFrame) -> Column:
         F.format_string("%.1f", F.col("z_score")), F.lit(" — "), short, F.lit(" — _"), when, F.lit("_"))
 
 
-def digests(limited: DataFrame, period: Column | None = None) -> DataFrame:
-    """Digest per service of its rate-limited reports: count, lines, highest z, mean confidence.
+def digests(limited: DataFrame, period: Column) -> DataFrame:
+    """Digest of the rate-limited reports of a service: count, lines, highest z, mean confidence.
 
-    `period` splits long histories, one digest per service and period (a flush interval).
+    There is one digest per service and `period`, the flush interval of the digest.
     """
-    keys = ["service"] + (["period"] if period is not None else [])
-    rows = limited.withColumn("_line", digest_line(limited))
-    if period is not None:
-        rows = rows.withColumn("period", period)
-    grouped = rows.groupBy(*keys).agg(
+    rows = limited.withColumn("_line", digest_line()).withColumn("period", period)
+    grouped = rows.groupBy("service", "period").agg(
         F.count("*").alias("suppressed"),
         F.max("z_score").alias("max_z"),
         F.avg("confidence_score").alias("avg_confidence"),

@@ -153,17 +153,21 @@ def suppression_counts(decisions: DataFrame) -> DataFrame:
 
 
 def remaining_ttl(decisions: DataFrame, as_of: Column, time_col: str = "ts") -> DataFrame:
-    """Seconds left of each service's cooldown and of the storm at `as_of`; 0 when over."""
+    """Seconds left at `as_of` of each service's cooldown and of the storm; 0 when over.
+
+    Rows (scope, service, ttl) with scope cooldown or storm; a storm has the service `system`.
+    """
     past = decisions.filter(F.col(time_col) <= as_of)
 
-    def left(until: Column) -> Column:
-        us = F.unix_micros(until) - F.unix_micros(as_of)
-        return F.greatest(F.lit(0.0), us / F.lit(1e6))
+    def left(until: str) -> Column:
+        us = F.unix_micros(F.max(until)) - F.unix_micros(as_of)
+        return F.greatest(F.lit(0.0), us / F.lit(1e6)).alias("ttl")
 
-    per_service = past.groupBy("service").agg(left(F.max("cooldown_until")).alias("cooldown_ttl"))
-    storm = past.agg(left(F.max("storm_until")).alias("storm_ttl"))
-    # One-row aggregate.
-    return per_service.crossJoin(F.broadcast(storm))
+    cooling = past.groupBy("service").agg(left("cooldown_until")).select(
+        F.lit("cooldown").alias("scope"), "service", "ttl")
+    storm = past.agg(left("storm_until")).select(
+        F.lit("storm").alias("scope"), F.lit("system").alias("service"), "ttl")
+    return cooling.unionByName(storm)
 
 
 def sliding_services(alerts: DataFrame, seconds: int = 60, time_col: str = "ts",
