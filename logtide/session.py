@@ -38,9 +38,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     A cluster names that location in `spark.checkpoint.dir`. A machine-local folder is
     used only when the setting is missing and the master is local.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = (spark.conf.get("spark.checkpoint.dir", None)
+            or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "logtide-scratch")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
