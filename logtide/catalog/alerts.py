@@ -66,7 +66,7 @@ def clear_times(spark, folder):
 
 def overrides(spark, folder):
     decisions = suppress(v.alerts(spark, folder), SCALED, clears=clear_times(spark, folder))
-    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    as_of = v.moment(base.AS_OF)
     return remaining_ttl(decisions, as_of).select("scope", "service", F.round("ttl", 3).alias("ttl"))
 
 

@@ -13,7 +13,7 @@ from logtide.operators.windows import features, service_windows
 from logtide.session import materialise
 from logtide.settings import BaselineSettings, WindowSettings
 
-AS_OF = F.lit("2024-01-20 00:00:00").cast("timestamp")
+AS_OF = "2024-01-20 00:00:00"
 AS_OF_US = 1_705_708_800_000_000
 SHORT_EXPIRY = BaselineSettings(expiry=3_600)
 
@@ -68,7 +68,7 @@ def rolling(spark, folder):
 
 
 def latest(spark, folder):
-    return b.latest_baseline(history(spark, folder), AS_OF).select(
+    return b.latest_baseline(history(spark, folder), v.moment(AS_OF)).select(
         "service", "metric", F.unix_micros("last_updated").alias("last_us"), r("mean"), r("std_dev"), r("ewma"),
         "sample_count")
 
@@ -80,7 +80,7 @@ def expiring(spark, folder):
 
 
 def status(spark, folder):
-    rows = b.service_status(history(spark, folder), AS_OF)
+    rows = b.service_status(history(spark, folder), v.moment(AS_OF))
     ew = F.array_join(F.transform(F.map_entries("metrics"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"]["sample_count"].cast("string"))), ";")
     return rows.select("service", "learning", F.unix_micros("first_seen").alias("first_us"), r("age_hours"),

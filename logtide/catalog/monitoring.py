@@ -13,7 +13,7 @@ from logtide.operators.windows import window_start
 
 HOUR, WEEK = 3_600, 7 * 86_400
 BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
-START, END = (F.lit(d).cast("timestamp") for d in ("2024-01-05", "2024-01-20"))
+START, END = "2024-01-05", "2024-01-20"
 RANGE = 6 * HOUR
 
 
@@ -128,7 +128,7 @@ def recovered(spark, folder):
 
 
 def top(spark, folder):
-    return m.top_increase(counters(spark, folder), LABELS, "service", START, END, 5)
+    return m.top_increase(counters(spark, folder), LABELS, "service", v.moment(START), v.moment(END), 5)
 
 
 def error_ratio(spark, folder):
@@ -143,7 +143,7 @@ def compliance(spark, folder):
 
 
 def totals(spark, folder):
-    return m.total_increase(counters(spark, folder), LABELS, ("level",), START, END)
+    return m.total_increase(counters(spark, folder), LABELS, ("level",), v.moment(START), v.moment(END))
 
 
 def rule_alerts(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,9 +14,9 @@ from logtide.sources.readers import read_message_files
 from logtide.sources.writers import event_messages
 from logtide.streaming.jobs import run_to_table
 
-AS_OF = F.lit("2024-01-20 00:00:00").cast("timestamp")
+AS_OF = "2024-01-20 00:00:00"
 AS_OF_SQL = "TIMESTAMP '2024-01-20 00:00:00'"
-START = F.lit("2024-01-05").cast("timestamp")
+START = "2024-01-05"
 
 
 def stored_reports(spark, folder):
@@ -38,13 +38,13 @@ def silence_requests(spark, folder):
 
 
 def anomalies_page(spark, folder):
-    rows = read.list_anomalies(stored_reports(spark, folder), START, AS_OF, acks(spark, folder), page=2, size=50)
+    rows = read.list_anomalies(stored_reports(spark, folder), v.moment(START), v.moment(AS_OF), acks(spark, folder), page=2, size=50)
     return rows.select("event_id", "report_id", "service", "severity", "anomaly_type",
                        F.round("z_score", 6).alias("z_score"), F.unix_millis("ts").alias("ts_ms"), "summary", "acknowledged")
 
 
 def anomalies_total(spark, folder):
-    return read.count_anomalies(stored_reports(spark, folder), START, AS_OF, "order-svc")
+    return read.count_anomalies(stored_reports(spark, folder), v.moment(START), v.moment(AS_OF), "order-svc")
 
 
 def acknowledged(spark, folder):
@@ -53,7 +53,7 @@ def acknowledged(spark, folder):
 
 
 def logs_page(spark, folder):
-    rows = read.search_logs(v.logs(spark, folder), START, AS_OF, "auth-svc", "error", page=2, size=20)
+    rows = read.search_logs(v.logs(spark, folder), v.moment(START), v.moment(AS_OF), "auth-svc", "error", page=2, size=20)
     return rows.select("event_id", F.unix_micros("event_time").alias("ts_us"), "service", "level", "message")
 
 
@@ -73,19 +73,19 @@ def silences(spark, folder):
 
 def services(spark, folder):
     passed = cooldown(v.alerts(spark, folder), al.SCALED.cooldown).filter("allowed")
-    return read.list_services(v.registry(spark), stored_reports(spark, folder), AS_OF, passed,
+    return read.list_services(v.registry(spark), stored_reports(spark, folder), v.moment(AS_OF), passed,
                               silences(spark, folder), cooldown=al.SCALED.cooldown)
 
 
 def metric_points(spark, folder):
-    rows = read.service_metrics(stored_reports(spark, folder), "api-gateway", AS_OF, hours=240)
+    rows = read.service_metrics(stored_reports(spark, folder), "api-gateway", v.moment(AS_OF), hours=240)
     return rows.select("event_id", F.unix_millis("ts").alias("ts_ms"), F.round("z_score", 6).alias("z_score"), "severity",
                        F.element_at("observed_metrics", "p99_latency_ms").alias("p99"))
 
 
 def healths(spark, folder):
     passed = cooldown(v.alerts(spark, folder), al.SCALED.cooldown).filter("allowed")
-    return read.health(passed, AS_OF, al.SCALED.cooldown)
+    return read.health(passed, v.moment(AS_OF), al.SCALED.cooldown)
 
 
 def silenced_flags(spark, folder):

@@ -21,6 +21,11 @@ TEAMS = {
 HOURS_6 = 6 * 3_600
 
 
+def moment(text: str):
+    """Timestamp literal; the session time zone is UTC."""
+    return F.lit(text).cast("timestamp")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")

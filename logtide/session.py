@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Applied only where the caller has not chosen a value. Nothing here depends on the
 # size of the cluster: adaptive execution picks the reduce-side parallelism.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    STATE_STORE: ROCKSDB,
 }
 
 
@@ -32,6 +32,11 @@ def build_session(app_name: str = "logtide", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB state store; sessions built elsewhere may not have it."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint location of the session.
 

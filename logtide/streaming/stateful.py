@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from logtide.operators.baseline import HISTORY_SCHEMA, _Baseline, _baseline_step
 from logtide.operators.limiter import _limiter_step
 from logtide.operators.suppress import _cooldown_step, _Last
+from logtide.session import use_rocksdb
 from logtide.settings import ALERT_LIMITER, BaselineSettings, LimiterSettings
 
 SECOND = 1_000_000
@@ -105,6 +106,7 @@ class LimiterProcessor(StatefulProcessor):
 
 def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSettings()) -> DataFrame:
     """Baseline history of a stream of (service, metric, ts, value)."""
+    use_rocksdb(samples.sparkSession)
     narrow = samples.select("service", "metric", F.unix_micros("ts").alias("ts_us"),
                             F.col("value").cast("double").alias("value"))
     return narrow.groupBy("service", "metric").transformWithStateInPandas(
@@ -114,6 +116,7 @@ def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSet
 def cooldown_stream(alerts: DataFrame, seconds: int = 600, time_col: str = "ts",
                     id_col: str = "event_id") -> DataFrame:
     """Cooldown decisions (service, id, allowed) on a stream of alerts."""
+    use_rocksdb(alerts.sparkSession)
     narrow = alerts.select("service", F.unix_micros(time_col).alias("at_us"), F.col(id_col).alias("id"))
     id_type = narrow.schema["id"].dataType.simpleString()
     return narrow.groupBy("service").transformWithStateInPandas(
@@ -124,6 +127,7 @@ def cooldown_stream(alerts: DataFrame, seconds: int = 600, time_col: str = "ts",
 def limiter_stream(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key: str = "service",
                    time_col: str = "ts", id_col: str = "event_id") -> DataFrame:
     """Limiter decisions (key, id, allowed, current_count) on a stream of calls."""
+    use_rocksdb(calls.sparkSession)
     narrow = calls.select(key, F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"))
     id_type = narrow.schema["id"].dataType.simpleString()
     key_type = narrow.schema[key].dataType.simpleString()
