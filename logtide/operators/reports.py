@@ -14,6 +14,7 @@ from logtide.functions.scalars import (
     pick,
     rounded_text,
 )
+from logtide.operators.chunks import running_count
 
 # Texts of the report that is written without an external analysis.
 NO_CAUSE = "Unable to determine — Claude API unavailable."
@@ -158,18 +159,17 @@ def dispatch(routed: DataFrame, limits: DataFrame, id_col: str = "event_id") ->
     reports of the service so far.
     """
     decisions = limits.select(id_col, F.col("allowed").alias("_allowed"), F.col("ts").alias("_at"))
-    joined = routed.join(decisions, id_col)
     limited = ~F.col("_allowed")
     none = F.expr("cast(array() as array<string>)")
-    so_far = (Window.partitionBy("service").orderBy("_at", id_col)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    day = F.floor(F.unix_micros("_at") / 86_400_000_000)
+    joined = running_count(routed.join(decisions, id_col), ["service"], ["_at", id_col], day, limited, "_pending")
     return joined.select(
         id_col, "service", "severity",
         F.when(limited, none).otherwise(F.col("channels")).alias("channels_dispatched"),
         F.when(limited, none).otherwise(F.col("slack_targets")).alias("slack_targets_notified"),
         (F.col("_allowed") & F.col("send_pagerduty")).alias("pagerduty_triggered"),
         limited.alias("rate_limited"), limited.alias("digest_queued"),
-        F.when(limited, F.sum(limited.cast("bigint")).over(so_far))
+        F.when(limited, F.col("_pending"))
         .otherwise(F.lit(0).cast("bigint")).alias("digest_pending_count"))
 
 

@@ -178,9 +178,17 @@ def sliding_services(alerts: DataFrame, seconds: int = 60, time_col: str = "ts",
     covers the times from its own until it leaves the window or the service alerts again.
     The number of open covers is a running sum of +1 and -1 steps, taken in time chunks.
     """
-    us = F.unix_micros(time_col)
-    w = Window.partitionBy("service").orderBy("_us", id_col)
-    staged = alerts.withColumn("_us", us).withColumn("_next", F.lead("_us").over(w))
+    # The next alert of the service matters only within `seconds`, so it lies in the same or
+    # the following bucket. Every alert is also shown to the bucket before its own; a busy
+    # service is spread over its buckets.
+    own = F.floor(F.col("_us") / (seconds * SECOND))
+    w = Window.partitionBy("service", "_bucket").orderBy("_us", id_col)
+    staged = (
+        alerts.withColumn("_us", F.unix_micros(time_col))
+        .withColumn("_bucket", F.explode(F.array(own, own - 1)))
+        .withColumn("_next", F.lead("_us").over(w))
+        .filter(F.col("_bucket") == own).drop("_bucket")
+    )
     ends = F.least(F.col("_us") + seconds * SECOND, F.coalesce("_next", F.col("_us") + seconds * SECOND))
     steps = (
         staged.select(F.explode(F.array(

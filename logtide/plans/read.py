@@ -126,7 +126,7 @@ def silence(requests: DataFrame) -> DataFrame:
     """Silence requests (service, ts, minutes) to intervals [from, to); 1 to 1440 minutes."""
     return requests.filter(F.col("minutes").between(1, 1440)).select(
         "service", F.col("ts").alias("from_ts"),
-        F.timestamp_micros(F.unix_micros("ts") + F.col("minutes") * 60_000_000).alias("to_ts"))
+        F.timestamp_micros(F.unix_micros("ts") + F.col("minutes").cast("bigint") * 60_000_000).alias("to_ts"))
 
 
 def active_silences(silences: DataFrame, as_of: Column) -> DataFrame:
@@ -136,19 +136,27 @@ def active_silences(silences: DataFrame, as_of: Column) -> DataFrame:
 def mark_silenced(alerts: DataFrame, silences: DataFrame, out: str = "silenced") -> DataFrame:
     """Add `silenced`: some silence of the service covers the alert time.
 
-    The latest end among all silences that started before the alert decides. It is a
-    running maximum over alerts and silences together, so no range join is needed.
+    Among the silences that started before an alert the latest end decides, which is a
+    running maximum over alerts and silences together. A silence lasts at most a day, so it
+    reaches into two day buckets, and every (service, day) is handled on its own.
     """
-    kind = alerts.withColumn("_ends", F.lit(None).cast("timestamp")).withColumn("_side", F.lit(1))
+    day = 86_400_000_000
+
+    def bucket(column: str) -> Column:
+        return F.floor(F.unix_micros(column) / day)
+
+    rows = alerts.withColumn("_ends", F.lit(None).cast("timestamp")).withColumn(
+        "_side", F.lit(1)).withColumn("_bucket", bucket("ts"))
     starts = silences.select(
-        "service", F.col("from_ts").alias("ts"), F.col("to_ts").alias("_ends"), F.lit(0).alias("_side"))
-    merged = kind.unionByName(starts, allowMissingColumns=True)
-    w = (Window.partitionBy("service").orderBy("ts", "_side")
+        "service", F.col("from_ts").alias("ts"), F.col("to_ts").alias("_ends"), F.lit(0).alias("_side"),
+        F.explode(F.sequence(bucket("from_ts"), bucket("to_ts"))).alias("_bucket"))
+    w = (Window.partitionBy("service", "_bucket").orderBy("ts", "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        merged.withColumn("_until", F.max("_ends").over(w)).filter(F.col("_side") == 1)
+        rows.unionByName(starts, allowMissingColumns=True)
+        .withColumn("_until", F.max("_ends").over(w)).filter(F.col("_side") == 1)
         .withColumn(out, F.coalesce(F.col("_until") > F.col("ts"), F.lit(False)))
-        .drop("_ends", "_side", "_until")
+        .drop("_ends", "_side", "_until", "_bucket")
     )
 
 
