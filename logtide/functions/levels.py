@@ -10,20 +10,14 @@ from logtide.schema import COLLECTOR_LEVELS, LEVEL_SCAN_ORDER, LEVEL_SEVERITY, L
 
 def canonical_level(raw: Column) -> Column:
     """One of the six known levels; anything else, null included, is UNKNOWN."""
-    text = F.upper(F.trim(raw))
-    expr = None
-    for level, spellings in LEVEL_SPELLINGS.items():
-        test = text.isin(*spellings)
-        expr = F.when(test, level) if expr is None else expr.when(test, level)
-    return expr.otherwise("UNKNOWN")
+    entries = [F.lit(x) for level, spellings in LEVEL_SPELLINGS.items() for s in spellings for x in (s, level)]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), F.upper(F.trim(raw))), F.lit("UNKNOWN"))
 
 
 def severity_num(level: Column) -> Column:
     """Numeric rank of a canonical level."""
-    expr = None
-    for name, rank in LEVEL_SEVERITY.items():
-        expr = F.when(level == name, rank) if expr is None else expr.when(level == name, rank)
-    return expr.otherwise(0)
+    entries = [F.lit(x) for pair in LEVEL_SEVERITY.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), level), F.lit(0))
 
 
 def is_at_least(level: Column, minimum: str) -> Column:

@@ -14,7 +14,7 @@ def is_blank(value: Column) -> Column:
 
 def first_present(*candidates: Column, default: str = "") -> Column:
     """First candidate that is neither null nor blank."""
-    return F.coalesce(*[F.when(~is_blank(c), c) for c in candidates], F.lit(default))
+    return F.coalesce(*[F.when(c.rlike(r"\S"), c) for c in candidates], F.lit(default))
 
 
 def pick(value: Column, table: Mapping[str, str], default: Column | None = None) -> Column:

@@ -103,7 +103,10 @@ def normalise(records: DataFrame, ingest_time: str = "timestamp", value: str = "
     `degraded` marks rows whose time had to fall back to the ingest time or whose level
     was not recognised.
     """
-    read, fields = text_fields(records, value, TEXT_KEYS)
+    # The latency is taken below the field reader, which starts a new stage of generated
+    # code: one stage with everything in it would be too large for the JIT compiler.
+    timed = records.withColumn("latency_ms", latency_ms(F.col("doc"))).drop("doc")
+    read, fields = text_fields(timed, value, TEXT_KEYS)
 
     def any_of(*keys: str, default: str = "") -> Column:
         return first_present(*[fields[k] for k in keys], default=default)
@@ -120,7 +123,7 @@ def normalise(records: DataFrame, ingest_time: str = "timestamp", value: str = "
         any_of("trace_id").alias("trace_id"),
         any_of("span_id").alias("span_id"),
         any_of("error").alias("error"),
-        latency_ms(F.col("doc")).alias("latency_ms"),
+        "latency_ms",
         F.col(value).alias("raw"),
     )
     parsed = event_time(F.col("_time_text"), F.lit(None).cast("timestamp"))
