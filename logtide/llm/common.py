@@ -49,3 +49,27 @@ def mix64(values: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class BoundedTable(dict):
+    """Results of `fill` by key, computed on demand; starts again when full."""
+
+    def __init__(self, fill: Callable, size: int):
+        super().__init__()
+        self.fill, self.size = fill, size
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.clear()
+        value = self[key] = self.fill(key)
+        return value
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that later steps read more than once to the shared folder of the session.
+
+    Lost executors then cost no recomputation of what came before.
+    """
+    from logtide.session import materialise
+
+    return materialise(df, f"llm-{purpose}")

@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logtide.llm.common import id_and_text, map_batches
+from logtide.llm.common import BoundedTable, id_and_text, map_batches
 
 MARK = "▁"
 #: Entries of the tables of encoded cuts and of checked pairs, per process.
@@ -38,22 +38,6 @@ UNKNOWN, START = 1 << 21, (1 << 22) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class _Table(dict):
-    """Fills itself on demand and starts again when full."""
-
-    def __init__(self, fill, size: int):
-        super().__init__()
-        self.fill, self.size = fill, size
-
-    def __missing__(self, key):
-        value = self.fill(key)
-        if len(self) >= self.size:
-            self.clear()
-        if not isinstance(key, str) or len(key) <= LONGEST_KEPT:
-            self[key] = value
-        return value
-
-
 class PieceCodec:
     """Encoder and decoder for one model, given as the bytes of its file.
 
@@ -107,9 +91,9 @@ class PieceCodec:
         #: Two characters that stand together in some piece; no merge ever joins others.
         self.joined = {piece[i - 1:i + 1] for piece in self.ids for i in range(1, len(piece))}
         self.length = [len(piece) for piece in self.pieces]
-        self.cuts = _Table(self._encode_cut, CUT_TABLE)
-        self.parts = _Table(self._split, CUT_TABLE)
-        self.pairs = _Table(self._pair_holds, PAIR_TABLE)
+        self.cuts = BoundedTable(self._encode_cut, CUT_TABLE)
+        self.parts = BoundedTable(self._split, CUT_TABLE)
+        self.pairs = BoundedTable(self._pair_holds, PAIR_TABLE)
         self._runs = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
     # -- encoding ---------------------------------------------------------------
@@ -118,7 +102,10 @@ class PieceCodec:
         """Ids of the whole text, without begin and end ids."""
         if not text:
             return []
-        return list(chain.from_iterable(map(self.cuts.__getitem__, self._cut(text))))
+        cuts = self._cut(text)
+        if len(max(cuts, key=len)) > LONGEST_KEPT:
+            return list(chain.from_iterable(self._encode_cut(c) if len(c) > LONGEST_KEPT else self.cuts[c] for c in cuts))
+        return list(chain.from_iterable(map(self.cuts.__getitem__, cuts)))
 
     def _cut(self, text: str) -> Sequence[str]:
         """Parts to encode; one that does not start with a line feed stands for itself after a mark."""
@@ -139,10 +126,10 @@ class PieceCodec:
         ends = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in joined]
         if not ends:
             return self._split(text)
-        starts, out = [0, *ends], ()
+        starts, out = [0, *ends], []
         for part in map(text.__getitem__, map(slice, starts, [*ends, len(text)])):
-            out += self.parts[part]
-        return out
+            out.extend(self.parts[part] if len(part) <= LONGEST_KEPT else self._split(part))
+        return tuple(out)
 
     def _split(self, text: str) -> tuple[int, ...]:
         """Backtracking over the longest pieces; numbers from `UNKNOWN` on stand for characters without a piece."""
