@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logtide.llm import line_dedup
 from logtide.llm.common import read_table
 
 
@@ -25,8 +26,22 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(read_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup_report(read_table(spark, folder, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from logtide.llm.toxicity import score_documents
+
+    return score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_line_dedup": op4_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
+}
