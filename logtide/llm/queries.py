@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import line_dedup
+from logtide.llm import decontaminate, line_dedup, simhash
 from logtide.llm.common import read_table
 
 
@@ -30,6 +30,14 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup_report(read_table(spark, folder, "documents"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_report(read_table(spark, folder, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontamination_report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from logtide.llm.toxicity import score_documents
 
@@ -39,9 +47,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
