@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, line_dedup, simhash
+from logtide.llm import decontaminate, line_dedup, sharding, simhash
 from logtide.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_report(read_table(spark, folder, "documents"))
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_report(read_table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontamination_report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
