@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, line_dedup, sharding, simhash
+from logtide.llm import decontaminate, line_crf, line_dedup, sharding, simhash
 from logtide.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, folder, "documents"))
 
 
+def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return line_crf.quality_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontamination_report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_line_crf": op7_line_crf,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
