@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, line_crf, line_dedup, sharding, simhash
+from logtide.llm import decontaminate, line_crf, line_dedup, sharding, simhash, suffix_dedup
 from logtide.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(read_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_report(read_table(spark, folder, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup_report(read_table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
