@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import decontaminate, line_crf, line_dedup, sharding, simhash, suffix_dedup
+from logtide.llm import cotraining, decontaminate, line_crf, line_dedup, secret_scan, sharding, simhash, suffix_dedup
 from logtide.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(read_table(spark, folder, "documents"), tokenizer_file())
 
 
+def op2_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_report(read_table(spark, folder, "documents"))
 
@@ -46,6 +50,10 @@ def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return line_crf.quality_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets_report(read_table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontamination_report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -58,11 +66,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_cotraining": op2_cotraining,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_line_crf": op7_line_crf,
+    "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
