@@ -30,6 +30,7 @@ NUMBERS = ("distinct words", "upper words", "symbols", "digits", "mean word", "m
 TEXT_WIDTH = SHAPES + len(NUMBERS)
 META_WIDTHS = {"lang": 32, "source": 128, "length": 24}
 META_WIDTH = sum(META_WIDTHS.values())
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 #: Characters that are counted as no letters.
 NO_LETTERS = " \t\n\r0123456789.,;:!?'\"()[]{}<>|#*$%&@/\\+-_=~^`"
 #: Kept from this score on.
@@ -51,18 +52,22 @@ class CoTrainSettings:
 
 def _shape(word: str) -> int:
     """Bucket of a word's shape: runs of small and capital letters and digits are one sign each, the rest stays."""
-    form = re.sub(r"[^\W\d_]+", lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word)
-    return zlib.crc32(re.sub(r"\d+", "0", form).encode()) % SHAPES
+    form = LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word)
+    return zlib.crc32(DIGITS.sub("0", form).encode()) % SHAPES
 
 
-def text_features(text: str, shapes: BoundedTable) -> np.ndarray:
+#: Shapes of the words that a process has met.
+_KNOWN = BoundedTable(_shape, 300_000)
+
+
+def text_features(text: str) -> np.ndarray:
     """Features of a text: shares of word shapes and a few numbers between 0 and about 1."""
     words = text.split()
     lines = [line for line in text.split("\n") if line.strip()]
     out = np.zeros(TEXT_WIDTH, np.float32)
     n, chars = max(len(words), 1), max(len(text), 1)
     if words:
-        buckets = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
+        buckets = np.fromiter(map(_KNOWN.__getitem__, words), np.int64, len(words))
         out[:SHAPES] = np.sqrt(np.bincount(buckets, minlength=SHAPES) / n)
     counts = Counter(words)
     letters = len(text) - sum(map(text.count, NO_LETTERS))
@@ -84,12 +89,11 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    shapes = BoundedTable(_shape, 200_000)
     text = np.zeros((batch.num_rows, TEXT_WIDTH), np.float32)
     meta = np.zeros((batch.num_rows, META_WIDTH), np.float32)
     columns = (batch.column(c).to_pylist() for c in ("text", *PARTS))
     for i, (t, *values) in enumerate(zip(*columns)):
-        text[i] = text_features(t or "", shapes)
+        text[i] = text_features(t or "")
         meta[i, meta_features(*values)] = 1
     return text, meta
 
