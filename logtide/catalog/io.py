@@ -114,6 +114,39 @@ def dead_letters(spark, folder):
     return letters.unionByName(logs)
 
 
+FUTURE = '{"timestamp":"2031-01-01T00:00:00Z","service_name":"auth-svc","level":"INFO","message":"ahead"}'
+SPLIT = "2024-01-16"
+
+
+def late_stream(spark, folder):
+    """Three batches: early rows; rows that are partly late, with one from the future; rows that are all late by then."""
+    base_dir = scratch_dir(spark, "late")
+    raw = v.raw_messages(spark, folder).select("event_id", "key", "value", "partition", "offset", "timestamp")
+    even = F.col("event_id") % 2 == 0
+    ahead = raw.limit(1).withColumn("value", F.lit(FUTURE))
+    for part in (raw.filter(even & (F.col("timestamp") < SPLIT)), raw.filter(~even).unionByName(ahead),
+                 raw.filter(even & (F.col("timestamp") >= SPLIT))):
+        part.drop("event_id").coalesce(1).write.mode("append").parquet(f"{base_dir}/in")
+    stream = rd.read_message_files(spark, f"{base_dir}/in", max_files=1)
+    jobs.start_ingest(stream, base_dir, f"{base_dir}/checkpoint", available_now=True).awaitTermination()
+    letters = spark.read.parquet(f"{base_dir}/dead_letters").groupBy("reason").agg(
+        F.count("*").alias("n"), F.count("timestamp").alias("placed"))
+    logs = spark.read.parquet(f"{base_dir}/logs").agg(
+        F.lit("written").alias("reason"), F.count("*").alias("n"), F.count("event_date").alias("placed"))
+    return letters.unionByName(logs)
+
+
+def event_dead_letters(spark, folder):
+    """Messages without an event: broken JSON, no id, nothing at all."""
+    events = rep.anomaly_events(spark, folder).select(F.col("event_id").cast("string").alias("event_id"), "service")
+    n = F.col("event_id").cast("bigint") % 10
+    value = (F.when(n == 7, F.lit("not json")).when(n == 8, F.lit('{"service":"x"}')).when(n == 9, F.lit(""))
+             .otherwise(F.to_json(F.struct("event_id", "service"))))
+    messages = events.select(F.col("service").alias("key"), value.alias("value"), F.lit(3).alias("partition"),
+                             F.col("event_id").cast("bigint").alias("offset"))
+    return rd.undecodable_events(messages).select("offset", "reason", "value", "key")
+
+
 def registry(spark, folder):
     """Registry file read back and joined with the services seen in the logs."""
     path = scratch_dir(spark, "registry")
@@ -200,7 +233,9 @@ QUERIES = {
     "S7_upsert_reports": upserted_reports,
     "S8_archive": archived,
     "S9_dead_letters": dead_letters,
+    "S9_late_stream": late_stream,
     "S10_registry": registry,
+    "S11_event_dead_letters": event_dead_letters,
     "S11_event_stream": consumed_events,
     "S11_window_record_stream": consumed_windows,
     "B1_ewma_stream": baseline_stream,
@@ -242,6 +277,16 @@ SELECT service || '-' || CAST(start_us // 1000 AS VARCHAR) AS doc_id, 'logs-aggr
     "S8_archive": _RAW + """SELECT CAST(year(timestamp) AS BIGINT) AS year, CAST(month(timestamp) AS BIGINT) AS month, CAST(day(timestamp) AS BIGINT) AS day,
   CAST(hour(timestamp) AS BIGINT) AS hour, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars FROM raw_messages GROUP BY ALL""",
     "S9_dead_letters": _JUDGED + """SELECT coalesce(parse_error, 'written') AS reason, count(*) AS n FROM judged GROUP BY 1""",
+    "S9_late_stream": ps.FULL + f""", marked AS (
+  SELECT *, event_id % 2 = 0 AS even, epoch_us(event_time) // 60000000 * 60000000 + 90000000 AS final_us FROM normalised),
+first AS (SELECT max(epoch_us(event_time)) AS mark FROM marked WHERE even AND timestamp < TIMESTAMP '{SPLIT}')
+SELECT 'written' AS reason, count(*) + 1 AS n, count(*) + 1 AS placed FROM normalised
+UNION ALL SELECT 'late event', count(*), count(*) FROM marked, first WHERE service <> 'unknown'
+  AND ((NOT even AND final_us <= mark - 30000000) OR (even AND timestamp >= TIMESTAMP '{SPLIT}')) HAVING count(*) > 0
+UNION ALL SELECT parse_error, count(*), count(*) FROM ({_JUDGED} SELECT * FROM judged) WHERE parse_error IS NOT NULL GROUP BY 1""",
+    "S11_event_dead_letters": rep.BASE + """SELECT event_id AS "offset", CASE event_id % 10 WHEN 7 THEN 'malformed json' WHEN 8 THEN 'no event id'
+  ELSE 'empty message' END AS reason, CASE event_id % 10 WHEN 7 THEN 'not json' WHEN 8 THEN '{"service":"x"}' ELSE '' END AS value, service AS key
+FROM events_in WHERE event_id % 10 >= 7""",
     "S10_registry": v.with_ctes(v.LOGS, v.REGISTRY) + """SELECT r.service, team, tier, CASE WHEN r.service <> 'default' THEN 'PD-' || team END AS pagerduty_service_id,
   n AS rows FROM registry r LEFT JOIN (SELECT service, count(*) AS n FROM logs GROUP BY service) l ON l.service = r.service""",
     "S11_event_stream": rep.BASE + """SELECT CAST(event_id AS VARCHAR) AS event_id, service, anomaly_type, o1 AS error_rate, service || ',' || other AS correlated

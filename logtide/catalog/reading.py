@@ -71,6 +71,21 @@ def silences(spark, folder):
     return read.silence(silence_requests(spark, folder))
 
 
+def rejected(spark, folder):
+    """Requests with minutes missing or out of bounds."""
+    asked = silence_requests(spark, folder).withColumn("minutes", F.expr("CASE WHEN minutes < 100 THEN null ELSE minutes * 2 END"))
+    return read.rejected_silences(asked).groupBy("service", "reason").agg(F.count("*").alias("n"))
+
+
+def default_pages(spark, folder):
+    """The first pages without a start: the last day of anomalies, the last hour of logs."""
+    end = v.moment(AS_OF)
+    anomalies = read.list_anomalies(stored_reports(spark, folder), None, end, size=200)
+    logs = read.search_logs(v.logs(spark, folder), None, end, size=500)
+    return anomalies.select(F.lit("anomaly").alias("origin"), "event_id").unionByName(
+        logs.select(F.lit("log").alias("origin"), F.col("event_id").cast("string").alias("event_id")))
+
+
 def services(spark, folder):
     passed = cooldown(v.alerts(spark, folder), al.SCALED.cooldown).filter("allowed")
     return read.list_services(v.registry(spark), stored_reports(spark, folder), v.moment(AS_OF), passed,
@@ -120,6 +135,8 @@ QUERIES = {
     "Q6_service_metrics": metric_points,
     "Q7_health": healths,
     "Q8_silenced": silenced_flags,
+    "Q3_default_ranges": default_pages,
+    "Q8_rejected": rejected,
     "Q8_drop_silenced": without_silenced,
     "Q9_live_feed": feed,
 }
@@ -148,6 +165,14 @@ FROM alerts, (VALUES (CAST(1 AS BIGINT)), (2)) a(ack_id) WHERE event_id % 7 = 0"
     "Q3_search_logs": v.with_ctes(v.LOGS) + f"""SELECT event_id, epoch_us(event_time) AS ts_us, service, level, message FROM logs
 WHERE service = 'auth-svc' AND level = 'ERROR' AND event_time BETWEEN TIMESTAMP '2024-01-05' AND {AS_OF_SQL}
 ORDER BY event_time DESC, event_id DESC LIMIT 20 OFFSET 20""",
+    "Q3_default_ranges": rep.BASE + f"""SELECT 'anomaly' AS origin, CAST(event_id AS VARCHAR) AS event_id FROM (
+  SELECT event_id FROM reports_in WHERE date_trunc('millisecond', ts) BETWEEN {AS_OF_SQL} - INTERVAL 24 HOUR AND {AS_OF_SQL}
+  ORDER BY date_trunc('millisecond', ts) DESC, CAST(event_id AS VARCHAR) DESC LIMIT 200)
+UNION ALL SELECT 'log', CAST(event_id AS VARCHAR) FROM (SELECT event_id FROM logs WHERE event_time BETWEEN {AS_OF_SQL} - INTERVAL 1 HOUR AND {AS_OF_SQL}
+  ORDER BY event_time DESC, event_id DESC LIMIT 500)""",
+    "Q8_rejected": v.with_ctes(v.LOGS) + """SELECT service, CASE WHEN event_id % 3 = 0 THEN 'minutes missing'
+  ELSE 'minutes not between 1 and 1440' END AS reason, count(*) AS n FROM logs WHERE event_id % 211 = 0
+  AND (event_id % 3 = 0 OR (event_id % 3 * 720 + 60) * 2 > 1440) GROUP BY ALL""",
     "Q4_get_report": v.with_ctes(v.LOGS, v.ALERTS) + """, first AS (SELECT min(CAST(event_id AS VARCHAR)) AS k FROM alerts)
 SELECT l.lookup, 'r' || k AS report_id, k AS event_id, service FROM first JOIN alerts ON CAST(event_id AS VARCHAR) = k,
   (VALUES ('event'), ('report')) l(lookup)""",
@@ -160,8 +185,7 @@ FROM (SELECT service FROM registry WHERE service <> 'default' UNION
 LEFT JOIN registry r ON r.service = n.service LEFT JOIN registry d ON d.service = 'default'
 LEFT JOIN {_HEALTH} h ON h.service = n.service""",
     "Q6_service_metrics": rep.BASE + f"""SELECT CAST(event_id AS VARCHAR) AS event_id, (epoch_us(ts) // 1000) AS ts_ms, round(z_score, 6) AS z_score, severity, o2 AS p99
-FROM reports_in WHERE service = 'api-gateway' AND date_trunc('millisecond', ts) BETWEEN {AS_OF_SQL} - INTERVAL 240 HOUR AND {AS_OF_SQL}
-ORDER BY ts, event_id LIMIT 200""",
+FROM reports_in WHERE service = 'api-gateway' AND date_trunc('millisecond', ts) BETWEEN {AS_OF_SQL} - INTERVAL 240 HOUR AND {AS_OF_SQL}""",
     "Q7_health": _PASSED + f"SELECT service, health FROM {_HEALTH}",
     "Q8_silenced": _FLAGS + "SELECT event_id, service, silenced FROM flags",
     "Q8_drop_silenced": _FLAGS + "SELECT event_id, service FROM flags WHERE NOT silenced",

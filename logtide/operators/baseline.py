@@ -12,6 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logtide.operators.ordered import Arrays, ordered_fold
 from logtide.settings import FEATURES, BaselineSettings
@@ -78,7 +79,7 @@ def baseline_history(samples: DataFrame, settings: BaselineSettings = BaselineSe
     narrow = samples.select("service", "metric", F.unix_micros("ts").alias("ts_us"),
                             F.col("value").cast("double").alias("value"))
     folded = ordered_fold(narrow, ["service", "metric"], ["ts_us"], _Baseline,
-                          _baseline_step(settings), HISTORY_SCHEMA)
+                          _baseline_step(settings), StructType.fromDDL(HISTORY_SCHEMA))
     return folded.withColumns({
         "ts": F.timestamp_micros("ts_us"),
         "prev_ewma": F.nanvl("prev_ewma", F.lit(None).cast("double")),

@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows with a summary that has one row for each of their keys; null is a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"_same_{n}" for n, k in enumerate(keys)})
+    match = None
+    for n, k in enumerate(keys):
+        test = left[k].eqNullSafe(renamed[f"_same_{n}"])
+        match = test if match is None else match & test
+    return left.join(renamed, match).drop(*[f"_same_{n}" for n in range(len(keys))])
+
+
 def running_max_before(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                        value: Column, out: str) -> DataFrame:
     """Largest `value` (any ordered type) among the rows before each row; null for the first."""
@@ -22,7 +32,7 @@ def running_max_before(df: DataFrame, keys: list[str], order: list[str], chunk:
     carry = (staged.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_chunk_max"))
              .withColumn("_carry", F.max("_chunk_max").over(across)).drop("_chunk_max"))
     local = staged.withColumn("_local", F.max("_value").over(inside))
-    joined = local.join(carry, [*keys, "_chunk"], "left")
+    joined = same_keys(local, carry, [*keys, "_chunk"])
     return joined.withColumn(
         out, F.greatest(F.col("_local"), F.col("_carry"))
     ).drop("_chunk", "_value", "_local", "_carry")
@@ -39,7 +49,7 @@ def running_count(df: DataFrame, keys: list[str], order: list[Column | str], chu
     carry = (staged.groupBy(*keys, "_chunk").agg(F.sum("_one").alias("_n"))
              .withColumn("_carry", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n"))
     local = staged.withColumn("_local", F.sum("_one").over(inside))
-    return (local.join(carry, [*keys, "_chunk"])
+    return (same_keys(local, carry, [*keys, "_chunk"])
             .withColumn(out, F.col("_local") + F.col("_carry"))
             .drop("_chunk", "_one", "_local", "_carry"))
 
@@ -62,4 +72,4 @@ def quiet_islands(df: DataFrame, keys: list[str], time_us: str, gap_us: int,
                                | (F.col("_bucket") - F.col("_before") > 1)).cast("bigint"))
         .withColumn(out, F.sum("_start").over(w)).drop("_start", "_before")
     )
-    return staged.join(starts, [*keys, "_bucket"]).drop("_bucket")
+    return same_keys(staged, starts, [*keys, "_bucket"]).drop("_bucket")

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.operators.ordered import Arrays, ordered_fold
+from logtide.operators.chunks import same_keys
+from logtide.operators.ordered import Arrays, ordered_fold, with_fields
 from logtide.settings import ALERT_LIMITER, LimiterSettings
 
 SECOND = 1_000_000
@@ -66,14 +67,10 @@ def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key:
         .withColumn("_contended", F.max(F.col("_pair") > settings.limit).over(Window.partitionBy(key, "island")))
         .select(key, "_bucket", "island", "_contended")
     )
-    marked = bucketed.join(summary, [key, "_bucket"])
-    id_type = narrow.schema["id"].dataType.simpleString()
-    key_type = narrow.schema[key].dataType.simpleString()
-    base = f"{key} {key_type}, ts_us bigint, id {id_type}, island bigint"
-    folded = ordered_fold(
-        marked.filter("_contended").select(key, "ts_us", "id", "island"),
-        [key, "island"], ["ts_us", "id"], deque, _limiter_step(settings),
-        base + ", allowed boolean, current_count bigint")
+    marked = same_keys(bucketed, summary, [key, "_bucket"])
+    contended = marked.filter("_contended").select(key, "ts_us", "id", "island")
+    folded = ordered_fold(contended, [key, "island"], ["ts_us", "id"], deque, _limiter_step(settings),
+                          with_fields(contended, "allowed boolean, current_count bigint"))
     # Free islands: the count is the number of calls in the window, at most two buckets.
     bound = -(settings.window * SECOND - (1 if settings.left_open else 0))
     order = Window.partitionBy(key, "island").orderBy("ts_us")
@@ -133,9 +130,7 @@ def group_notifications(firing: DataFrame, group: list[str], member: str, wait:
     # One row per group and evaluation; members of the same evaluation act together.
     ticks = rows.groupBy(*group, "ts_us").agg(
         F.max("_new").alias("is_new"), F.count("*").alias("members"))
-    types = ", ".join(f"{g} {ticks.schema[g].dataType.simpleString()}" for g in group)
     folded = ordered_fold(
         ticks, group, ["ts_us"], _Group,
-        _notify_step(wait * SECOND, interval * SECOND, repeat * SECOND),
-        types + ", ts_us bigint, is_new boolean, members bigint, notify boolean")
+        _notify_step(wait * SECOND, interval * SECOND, repeat * SECOND), with_fields(ticks, "notify boolean"))
     return folded.withColumn(time_col, F.timestamp_micros("ts_us")).drop("ts_us")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.operators.chunks import quiet_islands
-from logtide.operators.ordered import Arrays, ordered_fold
+from logtide.operators.ordered import Arrays, ordered_fold, with_fields
 from logtide.settings import SuppressionSettings
 
 SECOND = 1_000_000
@@ -45,10 +45,6 @@ def _cooldown_step(cooldown_us: int):
     return step
 
 
-def _schema_of(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def cooldown(alerts: DataFrame, seconds: int, key: str = "service", time_col: str = "ts",
              tie_break: list[str] | None = None) -> DataFrame:
     """Add `allowed`: no allowed alert of the key in the last `seconds`.
@@ -57,9 +53,9 @@ def cooldown(alerts: DataFrame, seconds: int, key: str = "service", time_col: st
     """
     staged = quiet_islands(alerts.withColumn("at_us", F.unix_micros(time_col)), [key], "at_us",
                            seconds * SECOND, "_island")
-    schema = _schema_of(staged) + ", allowed boolean"
     return ordered_fold(staged, [key, "_island"], ["at_us", *(tie_break or [])], _Last,
-                        _cooldown_step(seconds * SECOND), schema).drop("at_us", "_island")
+                        _cooldown_step(seconds * SECOND), with_fields(staged, "allowed boolean")
+                        ).drop("at_us", "_island")
 
 
 class _Storm:
@@ -71,11 +67,8 @@ class _Storm:
         self.recent: dict[str, int] = {}
 
 
-SUPPRESS_SCHEMA = (
-    "island bigint, service string, ts_us bigint, id {id_type}, reason string, allowed boolean, "
-    "is_storm boolean, storm_services array<string>, cooldown_until_us bigint, "
-    "storm_until_us bigint"
-)
+DECISION = ("reason string, allowed boolean, is_storm boolean, storm_services array<string>, "
+            "cooldown_until_us bigint, storm_until_us bigint")
 
 
 def _storm_step(s: SuppressionSettings):
@@ -105,7 +98,7 @@ def _storm_step(s: SuppressionSettings):
                 state.storm_until = now + storm_us
                 reason[i] = "storm"
             # Oldest alert first, then by name.
-            members[i] = [k for k, _ in sorted(state.recent.items(), key=lambda e: (e[1], e[0]))]
+            members[i] = [k for k, _ in sorted(state.recent.items(), key=lambda e: (e[1], e[0] is not None, e[0] or ""))]
             cooled[i] = state.cooldown_until.get(service, now)
             stormed[i] = max(state.storm_until, now)
         return {
@@ -138,7 +131,8 @@ def suppress(alerts: DataFrame, settings: SuppressionSettings = SuppressionSetti
             F.lit(None).cast(id_type).alias("id"), F.lit(True).alias("is_clear")))
     islands = quiet_islands(narrow, [], "ts_us", settings.memory * SECOND)
     folded = ordered_fold(islands, ["island"], ["ts_us", "service", "id"], _Storm,
-                          _storm_step(settings), SUPPRESS_SCHEMA.format(id_type=id_type))
+                          _storm_step(settings),
+                          with_fields(islands, DECISION, ["island", "service", "ts_us", "id"]))
     return folded.filter(F.col("reason") != "clear").select(
         "service", F.timestamp_micros("ts_us").alias(time_col), F.col("id").alias(id_col),
         "reason", "allowed", "is_storm", "storm_services",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Fixed values.
 LIST_FIELDS = ["event_id", "report_id", "service", "severity", "anomaly_type", "z_score", "ts", "summary"]
 LOG_FIELDS = ["event_time", "service", "level", "message", "trace_id", "span_id", "error"]
-MAX_PAGE, MAX_LOG_PAGE, MAX_POINTS, MAX_SERVICES = 200, 500, 200, 200
+MAX_PAGE, MAX_LOG_PAGE = 200, 500
+LEAST_MINUTES, MOST_MINUTES = 1, 1_440
+ANOMALY_HOURS, LOG_HOURS = 24, 1
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
@@ -16,11 +18,16 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFra
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def list_anomalies(reports: DataFrame, start: Column, end: Column, acks: DataFrame | None = None,
+def default_start(end: Column, hours: int) -> Column:
+    return F.timestamp_micros(F.unix_micros(end) - hours * 3_600_000_000)
+
+
+def list_anomalies(reports: DataFrame, start: Column | None, end: Column, acks: DataFrame | None = None,
                    service: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
-    """Reports in [start, end], newest first, with the acknowledged flag."""
+    """Reports in [start, end], newest first, with the acknowledged flag; the last 24 hours without a start."""
     if not 1 <= size <= MAX_PAGE or page < 1:
         raise ValueError(f"page must be positive and size between 1 and {MAX_PAGE}")
+    start = default_start(end, ANOMALY_HOURS) if start is None else start
     found = reports.filter((F.col("ts") >= start) & (F.col("ts") <= end))
     if service:
         found = found.filter(F.col("service") == service)
@@ -50,13 +57,19 @@ def effective_acks(acks: DataFrame) -> DataFrame:
     return acks.groupBy("event_id").agg(F.min("ts").alias("acknowledged_at"))
 
 
-def search_logs(logs: DataFrame, start: Column, end: Column, service: str | None = None,
+def search_logs(logs: DataFrame, start: Column | None, end: Column, service: str | None = None,
                 level: str | None = None, page: int = 1, size: int = 50,
                 tie_break: str = "event_id") -> DataFrame:
-    """Log rows in [start, end], newest first; the level is matched in upper case."""
+    """Log rows in [start, end], newest first; the level is matched in upper case.
+
+    Without a start the last hour is searched. A table that `start_ingest` wrote is pruned to the days of the range.
+    """
     if not 1 <= size <= MAX_LOG_PAGE or page < 1:
         raise ValueError(f"page must be positive and size between 1 and {MAX_LOG_PAGE}")
+    start = default_start(end, LOG_HOURS) if start is None else start
     found = logs.filter((F.col("event_time") >= start) & (F.col("event_time") <= end))
+    if "event_date" in logs.columns:
+        found = found.filter(F.col("event_date").between(F.to_date(start), F.to_date(end)))
     if service:
         found = found.filter(F.col("service") == service)
     if level:
@@ -73,13 +86,18 @@ def get_report(reports: DataFrame, key: str) -> DataFrame:
 
 def list_services(registry: DataFrame, reports: DataFrame, as_of: Column,
                   alerts: DataFrame | None = None, silences: DataFrame | None = None,
-                  cooldown: int = 600, hours: int = 24) -> DataFrame:
-    """Registered services and those seen in reports lately, with owner, health, silenced."""
+                  cooldown: int = 600, hours: int = 24, limit: int | None = None) -> DataFrame:
+    """Registered services and those seen in reports lately, with owner, health, silenced; sorted by name.
+
+    `limit` keeps only that many of the services seen lately, the busiest first.
+    """
     recent = (
         reports.filter(F.col("ts") >= F.timestamp_micros(F.unix_micros(as_of) - hours * 3_600_000_000))
         .groupBy("service").agg(F.count("*").alias("_n"))
-        .orderBy(F.desc("_n"), "service").limit(MAX_SERVICES).select("service")
     )
+    if limit is not None:
+        recent = recent.orderBy(F.desc("_n"), "service").limit(limit)
+    recent = recent.select("service")
     known = registry.filter(F.col("service") != "default").select("service")
     names = known.union(recent).distinct()
     # Imported here: enrichment is a sibling operator family.
@@ -99,7 +117,7 @@ def list_services(registry: DataFrame, reports: DataFrame, as_of: Column,
         F.col("service").alias("id"), "oncall_owner.team", "oncall_owner.tier",
         "oncall_owner.oncall", "oncall_owner.slack_channel",
         F.coalesce("health", F.lit("healthy")).alias("health"),
-        F.coalesce("silenced", F.lit(False)).alias("silenced"))
+        F.coalesce("silenced", F.lit(False)).alias("silenced")).orderBy("id")
 
 
 def health(allowed_alerts: DataFrame, as_of: Column, cooldown: int = 600) -> DataFrame:
@@ -111,24 +129,35 @@ def health(allowed_alerts: DataFrame, as_of: Column, cooldown: int = 600) -> Dat
                        .otherwise("healthy").alias("health"))
 
 
-def service_metrics(reports: DataFrame, service: str, as_of: Column, hours: int = 24) -> DataFrame:
-    """Metric points of a service over the last hours, oldest first."""
+def service_metrics(reports: DataFrame, service: str, as_of: Column, hours: int = 24,
+                    limit: int | None = None) -> DataFrame:
+    """Metric points of a service over the last hours, oldest first; all of them without a `limit`."""
     start = F.timestamp_micros(F.unix_micros(as_of) - hours * 3_600_000_000)
     fields = [f for f in ("ts", "z_score", "observed_metrics", "severity", "anomaly_type", "event_id")
               if f in reports.columns]
-    return (
-        reports.filter((F.col("service") == service) & (F.col("ts") >= start) & (F.col("ts") <= as_of))
-        .select(*fields).orderBy("ts", "event_id").limit(MAX_POINTS)
-    )
+    points = (reports.filter((F.col("service") == service) & (F.col("ts") >= start) & (F.col("ts") <= as_of))
+              .select(*fields).orderBy("ts", "event_id"))
+    return points if limit is None else points.limit(limit)
+
+
+def _in_bounds() -> Column:
+    return F.coalesce(F.col("minutes").between(LEAST_MINUTES, MOST_MINUTES), F.lit(False))
 
 
 def silence(requests: DataFrame) -> DataFrame:
-    """Silence requests (service, ts, minutes) to intervals [from, to); 1 to 1440 minutes."""
-    return requests.filter(F.col("minutes").between(1, 1440)).select(
+    """Silence requests (service, ts, minutes) to intervals [from, to); others are in `rejected_silences`."""
+    return requests.filter(_in_bounds()).select(
         "service", F.col("ts").alias("from_ts"),
         F.timestamp_micros(F.unix_micros("ts") + F.col("minutes").cast("bigint") * 60_000_000).alias("to_ts"))
 
 
+def rejected_silences(requests: DataFrame) -> DataFrame:
+    """Requests whose minutes are missing or out of bounds, with the reason."""
+    reason = (F.when(F.col("minutes").isNull(), "minutes missing")
+              .otherwise(f"minutes not between {LEAST_MINUTES} and {MOST_MINUTES}"))
+    return requests.filter(~_in_bounds()).withColumn("reason", reason)
+
+
 def active_silences(silences: DataFrame, as_of: Column) -> DataFrame:
     return silences.filter((F.col("from_ts") <= as_of) & (F.col("to_ts") > as_of))
 

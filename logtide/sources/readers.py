@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from logtide.schema import ANOMALY_EVENT, MESSAGE, OWNER, WINDOW_RECORD
 from logtide.settings import RECORD_TYPE
+from logtide.sources.writers import dead_letters
 
 # Offset policies of the three consumers.
 STARTING_OFFSETS = {"raw-logs": "earliest", "anomaly-events": "earliest", "processed-logs": "latest"}
 
 
-def kafka_options(servers: str, topic: str, max_offsets: int | None = None) -> dict[str, str]:
-    """Options of the Kafka source; the checkpoint keeps the committed offsets."""
+def kafka_options(servers: str, topic: str, max_offsets: int | None = None,
+                  fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the Kafka source; the checkpoint keeps the committed offsets.
+
+    Offsets that the broker no longer has stop the stream unless the caller accepts the loss.
+    """
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": STARTING_OFFSETS.get(topic, "earliest"),
         "kafka.isolation.level": "read_committed",
         "kafka.metadata.max.age.ms": "60000",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_offsets:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
@@ -105,7 +110,18 @@ def decode_window_records(messages: DataFrame, value: str = "value") -> DataFram
             .select(F.from_json(value, WINDOW_RECORD).alias("r")).select("r.*"))
 
 
+def _event(value: str):
+    return F.from_json(value, ANOMALY_EVENT)
+
+
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Anomaly events; messages that are not JSON objects are skipped."""
-    decoded = messages.select(F.from_json(value, ANOMALY_EVENT).alias("e"))
-    return decoded.filter(F.col("e.event_id").isNotNull()).select("e.*")
+    """Anomaly events; the messages of `undecodable_events` are left out."""
+    return messages.select(_event(value).alias("e")).filter(F.col("e.event_id").isNotNull()).select("e.*")
+
+
+def undecodable_events(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Messages that hold no anomaly event, as dead letters with their place in the source."""
+    failed = messages.withColumn("_e", _event(value)).filter(F.col("_e.event_id").isNull())
+    reason = (F.when(F.col(value).isNull() | (F.col(value) == ""), "empty message")
+              .when(F.try_parse_json(value).isNull(), "malformed json").otherwise("no event id"))
+    return dead_letters(failed, reason, F.col(value))

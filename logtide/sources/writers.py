@@ -58,6 +58,12 @@ def upsert(batch: DataFrame, path: str, keys: list[str], order: list[str], parti
     )
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -86,6 +92,11 @@ def write_archive(messages: DataFrame, path: str, at: Column, records: int = 100
     )
 
 
+# Where a message stood in the source; with these a dead letter can be replayed.
+COORDINATES = {"key": "string", "partition": "int", "offset": "bigint", "timestamp": "timestamp"}
+
+
 def dead_letters(df: DataFrame, reason: Column, value: Column) -> DataFrame:
-    """Rows in the layout of the dead-letter output."""
-    return df.select(reason.alias("reason"), value.alias("value"))
+    """Rows in the layout of the dead-letter output; coordinates that `df` lacks are null."""
+    place = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in COORDINATES.items()]
+    return df.select(reason.alias("reason"), value.alias("value"), *place)

@@ -21,7 +21,7 @@ from logtide.operators.parse import (
 )
 from logtide.operators.windows import document_keys, rate, window_end, window_start
 from logtide.settings import WindowSettings
-from logtide.sources.writers import dead_letters, json_messages, table_exists, upsert
+from logtide.sources.writers import dead_letters, remove, table_exists, upsert
 
 SECOND = 1_000_000
 
@@ -71,46 +71,56 @@ def upsert_windows(batch: DataFrame, batch_id: int, path: str) -> None:
     upsert(rows, path, ["service", "window_start"], ["seq"], "index_date")
 
 
-def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    """Write the rows of a batch into its own partition; repeating the batch replaces it."""
+def write_batch(rows: DataFrame, batch_id: int, path: str, partitions: tuple[str, ...] = ()) -> None:
+    """Write the rows of a batch below partitions of its own; repeating the batch replaces them."""
+    if partitions:  # one file for each partition instead of one for each task and partition
+        rows = rows.hint("rebalance", *partitions)
     rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        "partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
 
 
 def high_water(batch: DataFrame, batch_id: int, path: str) -> int | None:
-    """Largest event time (microseconds) of the batches before this one."""
-    spark = batch.sparkSession
-    if not table_exists(spark, path):
-        return None
-    # One row per batch; the answer is a single number.
-    marks = spark.read.schema("max_us bigint, batch_id bigint").parquet(path)
-    return marks.filter(F.col("batch_id") < batch_id).agg(F.max("max_us")).first()[0]
+    """Largest event time (microseconds) of all batches before this one.
+
+    Every batch writes the mark it leaves behind, so only the one before is read: one row.
+    """
+    spark, before = batch.sparkSession, f"{path}/{batch_id - 1}"
+    return spark.read.schema("max_us bigint").parquet(before).first()[0] if table_exists(spark, before) else None
+
+
+def write_mark(logs: DataFrame, mark: int | None, batch_id: int, path: str) -> None:
+    """Mark after a batch. A repeated batch reads the same mark and leaves the same one; older ones go."""
+    spark = logs.sparkSession
+    latest = logs.agg(F.greatest(F.max(F.unix_micros("event_time")), F.lit(mark).cast("bigint")).alias("max_us"))
+    latest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+    remove(spark, f"{path}/{batch_id - 2}")
 
 
 def ingest_batch(tables: str, settings: WindowSettings = WindowSettings()) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body: raw messages to logs and dead letters.
 
-    Messages that do not parse, and events whose window had closed before the batch, go to
-    `dead_letters`; all other events to `logs`. Spark drops late rows inside stateful
-    operators without a trace, so they are split off here, against a stored high-water mark.
+    Every event goes to `logs`, below its date and hour. Messages that do not parse go to `dead_letters`, and so do
+    copies of the events of known services whose window had closed before the batch. Spark drops late rows inside
+    stateful operators without a trace, so they are found here, against a stored high-water mark.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         messages = parse_messages(batch).persist()
+        logs = normalise(parsed_records(messages)).persist()
         try:
-            logs = normalise(parsed_records(messages)).drop("value", "key", "partition", "offset")
             mark = high_water(batch, batch_id, f"{tables}/high_water")
-            us = F.unix_micros(window_end(window_start(F.col("event_time"), settings.size), settings.size))
-            late = F.lit(False) if mark is None else (
-                us + settings.allowed_lateness * SECOND <= F.lit(mark - settings.out_of_orderness * SECOND))
-            write_batch(logs.filter(~late), batch_id, f"{tables}/logs")
+            dated = logs.drop("value", "key", "partition", "offset").withColumns({
+                "event_date": F.to_date("event_time"), "event_hour": F.hour("event_time")})
+            write_batch(dated, batch_id, f"{tables}/logs", ("event_date", "event_hour"))
             letters = dead_letters(parse_failures(messages), F.col("parse_error"), F.col("value"))
-            late_rows = logs.filter(late)
-            letters = letters.unionByName(
-                json_messages(late_rows).select(F.lit("late event").alias("reason"), "value"))
+            if mark is not None:
+                us = F.unix_micros(window_end(window_start(F.col("event_time"), settings.size), settings.size))
+                late = known_services(logs).filter(
+                    us + settings.allowed_lateness * SECOND <= F.lit(mark - settings.out_of_orderness * SECOND))
+                letters = letters.unionByName(dead_letters(late, F.lit("late event"), F.col("value")))
             write_batch(letters, batch_id, f"{tables}/dead_letters")
-            write_batch(logs.agg(F.max(F.unix_micros("event_time")).alias("max_us")), batch_id,
-                        f"{tables}/high_water")
+            write_mark(logs, mark, batch_id, f"{tables}/high_water")
         finally:
+            logs.unpersist()
             messages.unpersist()
 
     return body
