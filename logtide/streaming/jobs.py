@@ -74,7 +74,7 @@ def upsert_windows(batch: DataFrame, batch_id: int, path: str) -> None:
 def write_batch(rows: DataFrame, batch_id: int, path: str, partitions: tuple[str, ...] = ()) -> None:
     """Write the rows of a batch below partitions of its own; repeating the batch replaces them."""
     if partitions:  # one file for each partition instead of one for each task and partition
-        rows = rows.hint("rebalance", *partitions)
+        rows = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, "event_time")
     rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
 
@@ -99,7 +99,7 @@ def write_mark(logs: DataFrame, mark: int | None, batch_id: int, path: str) -> N
 def ingest_batch(tables: str, settings: WindowSettings = WindowSettings()) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body: raw messages to logs and dead letters.
 
-    Every event goes to `logs`, below its date and hour. Messages that do not parse go to `dead_letters`, and so do
+    Every event goes to `logs`, below its date and sorted by time, so that hours are pruned by the files' statistics. Messages that do not parse go to `dead_letters`, and so do
     copies of the events of known services whose window had closed before the batch. Spark drops late rows inside
     stateful operators without a trace, so they are found here, against a stored high-water mark.
     """
@@ -108,9 +108,8 @@ def ingest_batch(tables: str, settings: WindowSettings = WindowSettings()) -> Ca
         logs = normalise(parsed_records(messages)).persist()
         try:
             mark = high_water(batch, batch_id, f"{tables}/high_water")
-            dated = logs.drop("value", "key", "partition", "offset").withColumns({
-                "event_date": F.to_date("event_time"), "event_hour": F.hour("event_time")})
-            write_batch(dated, batch_id, f"{tables}/logs", ("event_date", "event_hour"))
+            dated = logs.drop("value", "key", "partition", "offset").withColumn("event_date", F.to_date("event_time"))
+            write_batch(dated, batch_id, f"{tables}/logs", ("event_date",))
             letters = dead_letters(parse_failures(messages), F.col("parse_error"), F.col("value"))
             if mark is not None:
                 us = F.unix_micros(window_end(window_start(F.col("event_time"), settings.size), settings.size))
