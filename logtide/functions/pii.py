@@ -101,12 +101,19 @@ def scrub_count(text: Column) -> Column:
 def scrub_column(df: DataFrame, text: str, out: str, count_out: str) -> DataFrame:
     """Add the redacted text and the replacement count, one projection per pattern."""
     staged = df.withColumn(out, F.col(text)).withColumn(count_out, F.lit(0))
-    for name in PATTERNS:
-        staged = staged.withColumns({
-            out: replace_matches(F.col(out), name),
-            count_out: F.col(count_out) + count_matches(F.col(out), name),
+    for name, (_, label) in PATTERNS.items():
+        # The pattern runs once: what it replaced is the number of labels that were not there before.
+        staged = staged.withColumn("_redacted", replace_matches(F.col(out), name)).withColumns({
+            out: F.col("_redacted"),
+            count_out: F.col(count_out) + _labels(F.col("_redacted"), label) - _labels(F.col(out), label),
         })
-    return staged
+    return staged.drop("_redacted")
+
+
+def _labels(text: Column, label: str) -> Column:
+    """Occurrences of a label in a text."""
+    rest = F.replace(text, F.lit(label), F.lit(""))
+    return F.coalesce(((F.length(text) - F.length(rest)) / len(label)).cast("int"), F.lit(0))
 
 
 def count_by_type(text: Column) -> dict[str, Column]:

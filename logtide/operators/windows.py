@@ -51,11 +51,16 @@ def window_counts(logs: DataFrame, size: int = 60, keys: tuple[str, ...] = ("ser
     })
 
 
-def window_cells(logs: DataFrame, size: int = 60, time_col: str = "event_time") -> DataFrame:
-    """Mergeable partial state of the windows, one row per latency value and env."""
+def window_cells(logs: DataFrame, size: int = 60, time_col: str = "event_time",
+                 said: Column | None = None) -> DataFrame:
+    """Mergeable partial state of the windows, one row per latency value and env.
+
+    With `said`, the text of an error or null, cells are kept apart by it as well, in `said`.
+    """
+    more = [] if said is None else [said.alias("said")]
     return (
         logs.groupBy("service", window_start(F.col(time_col), size).alias("window_start"),
-                     "latency_ms", "env")
+                     "latency_ms", "env", *more)
         .agg(F.count("*").alias("n"),
              F.count_if(is_error(F.col("level"))).alias("errors"),
              F.count_if(F.col("level") == "WARNING").alias("warnings"),
@@ -73,9 +78,12 @@ def merge_cells(cells: DataFrame, size: int) -> DataFrame:
     )
 
 
-def summarise_cells(cells: DataFrame, size: int) -> DataFrame:
+def summarise_cells(cells: DataFrame, size: int, top: int = 0) -> DataFrame:
     """Window aggregates from cells: counts, rates, nearest-rank percentiles, average, env.
 
+    With `top`, also `top_errors`: that many texts of `said` with their counts, ranked before
+    they are gathered.
+
     The percentile p of n samples is the sample of rank ceil(p/100 * n). The average is the
     integer quotient of the sum and the number of samples. The env is the earliest
     non-empty one.
@@ -94,6 +102,16 @@ def summarise_cells(cells: DataFrame, size: int) -> DataFrame:
         reached = F.col("latency_ms").isNotNull() & (F.col("_cum") >= rank)
         return F.min(F.when(reached, F.col("latency_ms"))).alias(f"p{p}_latency_ms")
 
+    tops = []
+    if top:
+        has_text = F.col("said").isNotNull()
+        ranked = ranked.withColumn("_times", F.sum("n").over(Window.partitionBy("service", "window_start", "said")))
+        place = F.dense_rank().over(w.orderBy(~has_text, F.desc("_times"), "said"))
+        ranked = ranked.withColumn("_place", place)
+        listed = F.collect_set(F.when(has_text & (F.col("_place") <= top), F.struct("_place", "said", "_times")))
+        tops = [F.transform(F.array_sort(listed), lambda x: F.struct(
+            x["said"].alias("message"), x["_times"].alias("count"))).alias("top_errors")]
+
     has_env = F.col("env") != ""
     grouped = ranked.groupBy("service", "window_start").agg(
         F.sum("n").alias("request_volume"),
@@ -104,6 +122,7 @@ def summarise_cells(cells: DataFrame, size: int) -> DataFrame:
         *[nearest_rank(p) for p in PERCENTILES],
         F.coalesce(F.min(F.when(has_env, F.struct("first_time", "env")))["env"],
                    F.lit("")).alias("env"),
+        *tops,
     )
     return grouped.withColumns({
         "window_end": window_end(F.col("window_start"), size),
@@ -131,20 +150,10 @@ def top_errors(logs: DataFrame, size: int = 60, k: int = 5, chars: int = 200,
 def service_windows(logs: DataFrame, settings: WindowSettings = WindowSettings(),
                     time_col: str = "event_time") -> DataFrame:
     """Complete window aggregate per service, unknown services left out."""
-    known = known_services(logs)
-    base = summarise_cells(window_cells(known, settings.size, time_col), settings.size)
-    # At most k rows per group reach the list.
-    tops = (
-        top_errors(known, settings.size, settings.top_errors, settings.message_chars, time_col)
-        .groupBy("service", "window_start")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "message", "count"))),
-                         lambda x: F.struct(x["message"], x["count"])).alias("top_errors"))
-    )
-    empty = F.expr("cast(array() as array<struct<message:string,count:bigint>>)")
-    return (
-        base.join(tops, ["service", "window_start"], "left")
-        .withColumn("top_errors", F.coalesce("top_errors", empty))
-    )
+    # One pass over the logs: the texts of errors are a part of the cells.
+    said = F.when(is_error(F.col("level")), message_key(F.col("message"), settings.message_chars))
+    cells = window_cells(known_services(logs), settings.size, time_col, said)
+    return summarise_cells(cells, settings.size, settings.top_errors)
 
 
 def window_records(windows: DataFrame) -> DataFrame:
