@@ -52,16 +52,23 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 class BoundedTable(dict):
-    """Results of `fill` by key, computed on demand; starts again when full."""
+    """Results of `fill` by key, computed on demand and kept in two generations of `size` entries at most.
+
+    When the young one is full it becomes the old one; what is asked for again comes back from there.
+    """
 
     def __init__(self, fill: Callable, size: int):
         super().__init__()
-        self.fill, self.size = fill, size
+        self.fill, self.size, self.old = fill, size, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fill(key)
         if len(self) >= self.size:
+            self.old = self.copy()
             self.clear()
-        value = self[key] = self.fill(key)
+        self[key] = value
         return value
 
 

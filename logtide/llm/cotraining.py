@@ -57,7 +57,7 @@ def _shape(word: str) -> int:
 
 
 #: Shapes of the words that a process has met.
-_KNOWN = BoundedTable(_shape, 300_000)
+_KNOWN = BoundedTable(_shape, 100_000)
 
 
 def text_features(text: str) -> np.ndarray:

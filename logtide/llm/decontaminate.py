@@ -34,7 +34,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 def word_table() -> BoundedTable:
-    return BoundedTable(xxhash.xxh64_intdigest, 300_000)
+    return BoundedTable(xxhash.xxh64_intdigest, 100_000)
 
 
 def hashed(words: Sequence[bytes], table: BoundedTable) -> np.ndarray:

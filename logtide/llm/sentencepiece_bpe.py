@@ -28,7 +28,7 @@ from logtide.llm.common import BoundedTable, id_and_text, map_batches
 
 MARK = "▁"
 #: Entries of the tables of encoded cuts and of checked pairs, per process.
-CUT_TABLE, PAIR_TABLE = 400_000, 500_000
+CUT_TABLE, PART_TABLE, PAIR_TABLE = 120_000, 40_000, 150_000
 #: Longer cuts are encoded each time.
 LONGEST_KEPT = 64
 NO_MERGE = float("-inf")
@@ -92,7 +92,7 @@ class PieceCodec:
         self.joined = {piece[i - 1:i + 1] for piece in self.ids for i in range(1, len(piece))}
         self.length = [len(piece) for piece in self.pieces]
         self.cuts = BoundedTable(self._encode_cut, CUT_TABLE)
-        self.parts = BoundedTable(self._split, CUT_TABLE)
+        self.parts = BoundedTable(self._split, PART_TABLE)
         self.pairs = BoundedTable(self._pair_holds, PAIR_TABLE)
         self._runs = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 

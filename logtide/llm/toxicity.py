@@ -69,7 +69,7 @@ class ToxicityModel:
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         """Probability of label 1; a null text scores as an empty one."""
         known = dict(zip(self.buckets.tolist(), range(len(self.buckets))))
-        table = BoundedTable(lambda word: tuple(known[b] for b in word_buckets(word, self.bits) if b in known), 300_000)
+        table = BoundedTable(lambda word: tuple(known[b] for b in word_buckets(word, self.bits) if b in known), 100_000)
         logits = np.empty(len(texts))
         for i, text in enumerate(texts):
             active: set[int] = set()
