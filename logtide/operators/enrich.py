@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.operators.nearest import newest_in_range
+from logtide.operators.nearest import newest_in_range, newest_of_others
 
 # Seconds before and after the event, and list lengths.
 LOGS_BEFORE, LOGS_AFTER, MAX_LOGS = 300, 60, 20
@@ -32,33 +32,14 @@ def correlated_anomalies(events: DataFrame, anomalies: DataFrame | None = None,
                          fields: list[str] | None = None) -> DataFrame:
     """Newest anomalies of other services within `radius` seconds of each event.
 
-    Every event is asked once per other service that was active near it, which is bounded by
-    the number of services, and gets that service's newest rows; the best `limit` of them
-    remain. Rows are never paired with all rows of their time range.
+    An event looks at about `2 * limit` stretches of rows and picks at most `limit` rows, however many services are busy
+    around it. Rows are never paired with all rows of their time range.
     """
     found = anomalies if anomalies is not None else events
     fields = fields or [c for c in CORRELATED_FIELDS if c in found.columns]
-    width = radius * 1_000_000
-    bucket = F.floor(F.unix_micros("ts") / width)
-    active = found.select(F.col("service").alias("_other"), bucket.alias("_bucket")).distinct()
-    near = (
-        events.select("event_id", "ts", F.col("service").alias("_own"),
-                      F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_bucket"))
-        .join(active, "_bucket")
-        .filter(F.col("_own") != F.col("_other"))
-        .select("event_id", "ts", "_other").distinct()
-    )
-    rows = found.withColumn("_other", F.col("service"))
-    hits = newest_in_range(
-        near, rows, "_other", "event_id", _shift("ts", -radius), _shift("ts", radius),
-        "ts", "event_id",
-        [F.col(f).alias(f"_{f}") for f in fields] + [F.col("ts").alias("__ts")], limit,
-        bucket_seconds=radius)
-    order = Window.partitionBy("event_id").orderBy(F.desc("__ts"), F.desc("_event_id"))
-    return (
-        hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-        .select("event_id", "rank", *[F.col(f"_{f}").alias(f"other_{f}") for f in fields])
-    )
+    return newest_of_others(
+        events, found, "service", "event_id", _shift("ts", -radius), _shift("ts", radius), "ts", "event_id",
+        [F.col(f).alias(f"other_{f}") for f in fields], limit, 2 * radius)
 
 
 def recent_deployments(events: DataFrame, deployments: DataFrame, payload: list[str],

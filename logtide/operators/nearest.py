@@ -95,3 +95,81 @@ def newest_in_range(
     return hits.select(
         key, F.col("_query").alias(query_id),
         (F.col("_last") - F.col("_number") + 1).alias("rank"), "_row.*")
+
+
+def newest_of_others(
+    queries: DataFrame,
+    rows: DataFrame,
+    key: str,
+    query_id: str,
+    lower: Column,
+    upper: Column,
+    row_time: str,
+    tie_break: str,
+    payload: list[Column | str],
+    k: int,
+    span_seconds: int,
+    bucket_seconds: int = 30,
+) -> DataFrame:
+    """Rows (query_id, rank, payload...) of all keys but the query's own, rank 1 the newest; ranges are closed.
+
+    All rows are numbered by time once, whatever their key, and so are the stretches of rows of one key. Two stretches
+    that follow each other have different keys, except where a bucket of the numbering ends. So among the last
+    `2 * k + 1` stretches below a bound, and one more for each bucket of the range, there are at least `k` of other
+    keys: each query looks at these and picks at most `k` numbers, however many keys are busy. `span_seconds` is the
+    longest range that a query has.
+    """
+    width = bucket_seconds * SECOND
+    own = F.struct(F.col(key).alias("key"))
+    wanted = queries.select(
+        F.col(query_id).alias("_query"), own.alias("_own"), F.unix_micros(lower).alias("_lo"), F.unix_micros(upper).alias("_hi"))
+    side = F.struct(F.col("_lo").alias("_us"), F.lit(-1).alias("_side")), F.struct(F.col("_hi").alias("_us"), F.lit(1).alias("_side"))
+    points = wanted.select("_query", "_own", F.inline(F.array(*side)))
+    kept = rows.select(F.unix_micros(row_time).alias("_us"), F.lit(0).alias("_side"), F.col(tie_break).alias("_tie"),
+                       own.alias("_key"), F.struct(*payload).alias("_row")).filter("_us IS NOT NULL")
+    merged = kept.unionByName(points, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_us") / width))
+
+    order = Window.partitionBy("_bucket").orderBy("_us", "_side", "_tie")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("_key", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    is_row = F.col("_side") == 0
+    local = (
+        merged.withColumn("_starts", (is_row & ~before.eqNullSafe(F.col("_key"))).cast("bigint"))
+        .withColumn("_local", F.sum(is_row.cast("bigint")).over(upto))
+        .withColumn("_local_run", F.sum("_starts").over(upto))
+    )
+    across = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each bucket, however many rows it has.
+    carry = (
+        local.groupBy("_bucket").agg(F.max("_local").alias("_n"), F.max("_local_run").alias("_m"))
+        .select("_bucket", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_carry"),
+                F.coalesce(F.sum("_m").over(across), F.lit(0)).alias("_carry_run"))
+    )
+    numbered = materialise(
+        local.join(carry, "_bucket").select(
+            "_side", "_key", "_row", "_query", "_own", (F.col("_local") + F.col("_carry")).alias("_number"),
+            (F.col("_local_run") + F.col("_carry_run")).alias("_run")), "numbered")
+    row_numbers = numbered.filter(is_row)
+    stretches = row_numbers.groupBy("_run").agg(
+        F.first("_key").alias("_key"), F.min("_number").alias("_from"), F.max("_number").alias("_to"))
+    bounds = numbered.filter(~is_row).groupBy("_query").agg(
+        F.first("_own").alias("_own"),
+        F.max(F.when(F.col("_side") == 1, F.col("_number"))).alias("_last"),
+        F.max(F.when(F.col("_side") == 1, F.col("_run"))).alias("_last_run"),
+        F.max(F.when(F.col("_side") == -1, F.col("_number"))).alias("_before"))
+    look_back = 2 * k + span_seconds // bucket_seconds + 2
+    newest = Window.partitionBy("_query").orderBy(F.desc("_run"))
+    taken = F.coalesce(F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picks = (
+        bounds.filter("_last > _before")
+        .withColumn("_run", F.explode(F.sequence(F.greatest(F.col("_last_run") - look_back, F.lit(1)), F.col("_last_run"))))
+        .join(stretches, "_run").filter(~F.col("_own").eqNullSafe(F.col("_key")))
+        .withColumns({"_to": F.least("_to", "_last"), "_from": F.greatest(F.col("_from"), F.col("_before") + 1)})
+        .filter("_from <= _to").withColumn("_n", F.col("_to") - F.col("_from") + 1)
+        .withColumn("_taken", taken).filter(F.col("_taken") < k)
+        .withColumn("_number", F.explode(F.sequence(
+            F.col("_to") - F.least(F.col("_n"), k - F.col("_taken")) + 1, F.col("_to"))))
+        .select("_query", "_number", (F.col("_taken") + F.col("_to") - F.col("_number") + 1).alias("rank"))
+    )
+    return picks.join(row_numbers.select("_number", "_row"), "_number").select(
+        F.col("_query").alias(query_id), F.col("rank").cast("int").alias("rank"), "_row.*")

@@ -32,6 +32,10 @@ def build_session(app_name: str = "logtide", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+#: Scratch folders that this process has asked for, oldest first.
+_SCRATCH: list[str] = []
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state needs the RocksDB state store; sessions built elsewhere may not have it."""
     spark.conf.set(STATE_STORE, ROCKSDB)
@@ -50,7 +54,22 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "logtide-scratch")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process and return how many there were.
+
+    Results are lazy and read their intermediates when they are used, so this is for the caller, once everything that
+    was derived from them has been written or collected.
+    """
+    paths = [_SCRATCH.pop() for _ in range(len(_SCRATCH))]
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

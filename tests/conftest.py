@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from logtide.session import build_session  # noqa: E402
+from logtide.session import build_session, clear_scratch  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,4 +21,5 @@ def spark(tmp_path_factory):
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
