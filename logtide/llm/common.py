@@ -6,12 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-#: ASCII white space that separates words; `bytes.split()` splits at the same bytes.
-SPACES = " \t\n\x0b\x0c\r"
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -28,21 +25,35 @@ def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 would put tens of megabytes into each copy of a batch.
+BATCH_ROWS, DEFAULT_ROWS = "4000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless the caller has chosen a size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
-                schema: str | StructType) -> DataFrame:
-    """`mapInArrow` with one call per batch; nothing is kept from one batch to the next."""
+                schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
+    """`mapInArrow` with one call per batch; nothing is kept from one batch to the next.
+
+    At the end of a partition `done` is called, and the worker gives the memory of its batches back.
+    """
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from work(batch)
+        if done is not None:
+            done()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def crc32_of_text(column: Column) -> Column:
-    """Unsigned CRC-32 of the text's UTF-8 bytes."""
-    return F.crc32(column.cast("string"))
-
-
 def mix64(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (finaliser of SplitMix64), in wrapping arithmetic."""
     x = values.astype(np.uint64)
@@ -71,6 +82,10 @@ class BoundedTable(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that later steps read more than once to the shared folder of the session.

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from logtide.llm.common import small_batches
+
 WINDOW = 3
 FILLED = re.compile(r"[^\x20\x09-\x0D]")
 CLEANED = "kept string, n_lines long, n_removed long, n_spans long"
@@ -80,6 +82,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.DataFrame([clean_lines(t, s, window) for t, s in zip(texts, starts)],
                             columns=["kept", "n_lines", "n_removed", "n_spans"])
 
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     found = later_windows(docs, id_col, text_col, window).withColumnsRenamed({"id": "at_id", "version": "at_version"})
     joined = rows.join(found, rows["id"].eqNullSafe(found["at_id"]) & (rows["version"] == found["at_version"]), "left")

@@ -96,6 +96,11 @@ class PieceCodec:
         self.pairs = BoundedTable(self._pair_holds, PAIR_TABLE)
         self._runs = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
+    def forget(self) -> None:
+        """Empty the tables of texts; checked pairs stay, there are fewer of them."""
+        self.cuts.forget()
+        self.parts.forget()
+
     # -- encoding ---------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
@@ -249,7 +254,8 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
                 [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())],
                 ["doc_id", "ids", "decoded"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, ids array<int>, decoded string")
+    return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, ids array<int>, decoded string",
+                       lambda: codec(sent.value).forget())
 
 
 def encoding_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +275,7 @@ def encoding_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
                 [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), work, SCHEMA)
+    return map_batches(id_and_text(docs, id_col, text_col), work, SCHEMA, lambda: codec(sent.value).forget())
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:

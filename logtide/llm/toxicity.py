@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from logtide.llm.common import BoundedTable, id_and_text, map_batches, stored
+from logtide.llm.common import BoundedTable, id_and_text, map_batches, small_batches, stored
 
 #: Groups that a sentence can name; a term is swapped for others of its row.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -53,8 +53,8 @@ class FitSettings:
     max_rows: int = 20_000      # labelled rows, the first by hash of the id
     bits: int = 20              # features are counted in 2**bits buckets
     features: int = 1_024       # buckets that the model uses
-    steps: int = 200
-    ridge: float = 1e-4
+    steps: int = 500
+    ridge: float = 1e-5
     counterfactual: float = 1.0  # weight of the penalty on swapped sentences
     swaps: int = 3              # counterfactuals of each named group in a sentence
 
@@ -231,6 +231,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: FitSettings =
     Null and empty texts get the score of a text without words. Repeated rows and ids are scored one by one; other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     own = id_and_text(docs)
     model = fit(own, labels.where(~held_out(F.col("doc_id"))), settings)
     scored = own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(model, F.col("text")).alias("score"))
@@ -239,5 +240,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: FitSettings =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: FitSettings = FitSettings()) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), settings)
     return docs.where(toxicity_score(model, F.col("text")) < THRESHOLD)
