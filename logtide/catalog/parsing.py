@@ -12,7 +12,7 @@ from logtide.functions.scalars import (
     percent_change,
 )
 from logtide.operators import parse as p
-from logtide.operators.multiline import JAVA_STACK, assemble
+from logtide.operators.multiline import JAVA_STACK, PYTHON_STACK, assemble
 from logtide.operators.windows import features, record_features, service_windows, window_records
 from logtide.schema import COLLECTOR_RESERVED
 from logtide.settings import RECORD_TYPE, WindowSettings
@@ -247,6 +247,31 @@ def multiline(spark, folder):
         "source_file", "first_line", "n_lines", "log")
 
 
+def python_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Log files by host: header lines, tracebacks, stray lines."""
+    logs = v.logs(spark, folder)
+    head = F.concat(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "level", F.lit(" "), "message")
+    trace = F.array(F.lit("Traceback (most recent call last):"), F.lit('  File "app.py", line 7, in run'), F.lit("    start()"),
+                    F.concat(F.lit("ValueError: "), "message"), F.lit("loose line"), F.lit("OtherException: alone"))
+    lines = F.when(F.col("level").isin("ERROR", "CRITICAL"), trace).otherwise(F.array(head))
+    return logs.select(F.col("host").alias("source_file"), "event_id", F.posexplode(lines).alias("pos", "line")).select(
+        "source_file", (F.col("event_id") * 10 + F.col("pos")).alias("line_no"), "line")
+
+
+PYTHON_TRACES = """stack_lines AS (
+  SELECT source_file, event_id * 10 + pos - 1 AS line_no, line FROM (
+    SELECT source_file, event_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (
+      SELECT host AS source_file, event_id, CASE WHEN level IN ('ERROR', 'CRITICAL')
+        THEN ['Traceback (most recent call last):', '  File "app.py", line 7, in run', '    start()', 'ValueError: ' || message,
+          'loose line', 'OtherException: alone']
+        ELSE [strftime(event_time, '%Y-%m-%d %H:%M:%S') || ' ' || level || ' ' || message] END AS lines FROM logs)))"""
+
+
+def python_records(spark, folder):
+    return assemble(python_traces(spark, folder), PYTHON_STACK, chunk_lines=5_000).select(
+        "source_file", "first_line", "n_lines", "log")
+
+
 def iso_lines(spark, folder):
     return plain_lines(spark, folder).withColumn("r", p.parse_iso_line(F.col("line"))).select("event_id", "r.*")
 
@@ -321,6 +346,7 @@ QUERIES = {
     "P13_stamp": stamped,
     "P14_drop_debug": without_debug,
     "P15_multiline": multiline,
+    "P15_python_traces": python_records,
     "P16_iso_lines": iso_lines,
     "P17_syslog": syslog,
     "P18_known_services": without_unknown,
@@ -463,3 +489,8 @@ FROM owned GROUP BY source_file, first_line""",
     "P24_clamp": "SELECT event_id, round(greatest(0.0, least(1.0, value / 50 - 0.2)), 6) AS clamped FROM events",
     "P25_message_keys": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN left(text, 200) END AS message_key FROM documents",
 }
+
+ORACLE["P15_python_traces"] = (
+    ORACLE["P15_multiline"].replace(STACK_LINES, PYTHON_TRACES)
+    .replace(r"'^\s+at |^\s+\.\.\. \d+ more|^Caused by:|^\t'", r"'^  File |^\w+Error:|^\w+Exception:|^\s{4}'")
+    .replace(r"'^(\d{4}-\d{2}-\d{2}|[A-Z]{3,8}[\s:]|\[\d)'", r"'^(\d{4}-\d{2}-\d{2}|Traceback)'"))

@@ -173,8 +173,9 @@ def dispatch(routed: DataFrame, limits: DataFrame, id_col: str = "event_id") ->
         .otherwise(F.lit(0).cast("bigint")).alias("digest_pending_count"))
 
 
-def digest_line() -> Column:
-    short = F.when(F.length("summary") > 60, F.concat(F.substring("summary", 1, 60), F.lit("…"))
+def digest_line(chars: int = 60) -> Column:
+    """Line of a digest; a summary is shown up to `chars` characters."""
+    short = F.when(F.length("summary") > chars, F.concat(F.substring("summary", 1, chars), F.lit("…"))
                    ).otherwise(F.col("summary"))
     when = F.replace(F.substring("timestamp", 1, 19), F.lit("T"), F.lit(" "))
     return F.concat(
@@ -250,8 +251,9 @@ def repeated_messages(samples: DataFrame, key: str = "event_id", n: int = 3) ->
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("_first")
 
 
-def message_line(rank: Column, message: Column, count: Column) -> Column:
-    short = F.when(F.length(message) > 80, F.concat(F.substring(message, 1, 80), F.lit("…"))).otherwise(message)
+def message_line(rank: Column, message: Column, count: Column, chars: int = 80) -> Column:
+    """Line of a ranked message, shown up to `chars` characters."""
+    short = F.when(F.length(message) > chars, F.concat(F.substring(message, 1, chars), F.lit("…"))).otherwise(message)
     times = F.when(count > 1, F.concat(F.lit(" ×"), count.cast("string"))).otherwise(F.lit(""))
     return F.concat(rank.cast("string"), F.lit(". `"), short, F.lit("`"), times)
 
