@@ -46,9 +46,9 @@ def test_all_but_the_last_return_the_columns_of_documents(stages):
 
 
 def test_stages_against_brute_force(spark, stages):
-    from test_decontaminate import brute as contaminated
-    from test_line_dedup import brute as cleaned
-    from test_simhash import close, roots, slow_fingerprint
+    from llm.test_decontaminate import brute as contaminated
+    from llm.test_line_dedup import brute as cleaned
+    from llm.test_simhash import close, roots, slow_fingerprint
 
     rows = {name: ({r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}) for name, before, after in stages}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
