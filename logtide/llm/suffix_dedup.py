@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.llm.common import map_batches, mix64, stored, text_bytes
@@ -129,12 +130,16 @@ def runs(group: list[tuple[int, int, bytes]], length: int, anchor: int) -> tuple
             joined.names(start, start + count + length - 1))
 
 
-def _in_order(batch: pa.RecordBatch, packed: bool = False) -> tuple[np.ndarray, list[bytes]]:
-    """Rows of a batch (id, version, text) in order of id and version, nulls first, and their texts."""
+def _order(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch (id, version, ...) in order of id and version, nulls first."""
     ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, versions[i]))
-    texts = list(_unpack(batch)) if packed else list(text_bytes(batch.column(2)))
-    return np.array(order, np.int64), [texts[i] or b"" for i in order]
+    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, versions[i])), np.int64)
+
+
+def _in_order(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
+    """Order of the rows of a batch (id, version, text) and their texts."""
+    order, texts = _order(batch), list(text_bytes(batch.column(2)))
+    return order, [texts[i] or b"" for i in order]
 
 
 def _firsts(*names: np.ndarray) -> np.ndarray:
@@ -221,11 +226,12 @@ def _parts(rows: DataFrame, length: int, anchor: int) -> DataFrame:
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(row, text, runs) of the rows of a batch (id, version, packed, n_bytes, open) that have open runs, in order."""
-    order, texts = _in_order(batch, packed=True)
-    listed = batch.column(4).to_pylist()
-    for i, raw in zip(order.tolist(), texts):
-        if listed[i]:
-            yield i, raw, np.unique(np.array(listed[i], np.int64))
+    codec, listed = pa.Codec("zstd"), batch.column(4)
+    for i in _order(batch).tolist():
+        own = listed[i].values
+        if own is not None and len(own):
+            raw = codec.decompress(batch.column(2)[i].as_py(), decompressed_size=batch.column(3)[i].as_py(), asbytes=True)
+            yield i, raw, np.unique(own.to_numpy(zero_copy_only=False))
 
 
 def _names(raw: bytes, spans: Sequence[tuple[np.ndarray, np.ndarray]], reach: int) -> list[np.ndarray]:
@@ -319,18 +325,26 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield codec.decompress(packed.as_py(), decompressed_size=size, asbytes=True) if size else b""
 
 
-def cut(raw: bytes, spans: Sequence[tuple[int, int]]) -> tuple[bytes, int]:
-    """(bytes outside the spans, maximal runs of bytes inside); spans may overlap and come in any order."""
-    kept, at, n = [], 0, 0
-    end = -1
-    for start, stop in sorted(spans):
-        if start > end:
-            kept.append(raw[at:start])
-            n += 1
-        end = max(end, stop)
-        at = end
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges covered by the ranges [start, stop), in order; ranges that touch are one."""
+    if not len(start):
+        return start, stop
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
+
+
+def cut(raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int]:
+    """(bytes outside the ranges, number of ranges); ranges are apart and in order."""
+    kept, at = [], 0
+    for a, b in zip(start.tolist(), stop.tolist()):
+        kept.append(raw[at:a])
+        at = b
     kept.append(raw[at:])
-    return b"".join(kept), n
+    return b"".join(kept), len(start)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,10 +393,13 @@ def suffix_dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for raw, spans in zip(_unpack(batch), batch.column(4).to_pylist()):
-            kept, n = cut(raw, [(s["start"], s["stop"]) for s in spans or ()])
-            if not spans:
-                n = 0
+        lists = batch.column(4)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        every = lists.flatten()
+        start, stop = (every.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        for i, raw in enumerate(_unpack(batch)):
+            a, b = ends[i], ends[i + 1]
+            kept, n = cut(raw, *merged(start[a:b], stop[a:b])) if a < b else (raw, 0)
             out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays(

@@ -3,10 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from logtide.llm import suffix_dedup
-from logtide.llm.suffix_dedup import cut, suffix_dedup_report
+from logtide.llm.suffix_dedup import cut, merged, suffix_dedup_report
 
 
 def brute(rows, length):
@@ -82,6 +83,10 @@ def test_edge_rows(make_docs):
 
 
 def test_cut_merges_spans():
-    assert cut(b"0123456789", [(5, 7), (1, 3), (2, 4), (7, 8)]) == (b"0489", 2)
-    assert cut(b"012", []) == (b"012", 0)
-    assert cut(b"012", [(0, 3)]) == (b"", 1)
+    def outside(raw, spans):
+        return cut(raw, *merged(*(np.array([s[k] for s in spans], np.int64) for k in range(2))))
+
+    assert outside(b"0123456789", [(5, 7), (1, 3), (2, 4), (7, 8)]) == (b"0489", 2)
+    assert outside(b"0123456789", [(1, 9), (2, 3), (9, 10)]) == (b"0", 1)
+    assert outside(b"012", []) == (b"012", 0)
+    assert outside(b"012", [(0, 3)]) == (b"", 1)
