@@ -112,13 +112,15 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the smallest id.
 
+    `groups` has (doc_id, component_id) of every row, by default those of `near_duplicates`.
+
     Rows that repeat an id count as one document: the row with the smallest hash of the text stays. Rows without an id
     are kept only if no row of their group has one, and then one of equal texts stays.
     """
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs) if groups is None else groups
     first = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version"))
