@@ -5,6 +5,10 @@ are always kept. A window is three consecutive lines that are left. All windows
 128-bit hash; of equal windows the first in (doc_id, position) stays, and every line that a later one covers is
 removed. Overlapping windows thus merge into maximal removed runs.
 
+Three lines do not see a passage of one or two. With `long_words` (the pipeline; `op4_line_dedup` keeps to its SQL) two
+kinds of shorter windows take part: one or two consecutive lines that together have more than that many words, and a text
+of one or two filled lines as a whole. Windows are equal only if they have the same number of lines.
+
 Two shuffles move hashes and positions only (the first combined on the map side, so that a passage that very many
 documents share arrives once per task); one shuffle brings the positions to the texts.
 """
@@ -20,6 +24,8 @@ from pyspark.sql.functions import pandas_udf
 from logtide.llm.common import small_batches
 
 WINDOW = 3
+#: Words above which a passage counts, whatever the number of its lines.
+LONG_WORDS = 50
 FILLED = re.compile(r"[^\x20\x09-\x0D]")
 CLEANED = "kept string, n_lines long, n_removed long, n_spans long"
 
@@ -52,13 +58,45 @@ def _windows(keyed: DataFrame, window: int) -> DataFrame:
             .select("id", "version", F.explode(F.transform(starts, hashed)).alias("w")).select("id", "version", "w.*"))
 
 
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, version, starts): for each text the windows that repeat an earlier one. `version` is a hash of the text."""
-    windows = _windows(_keyed(docs, id_col, text_col).select("id", "version", "text"), window)
+def _short_windows(keyed: DataFrame, window: int, long_words: int) -> DataFrame:
+    """(id, version, k, size, h1, h2): runs of fewer than `window` lines that are long or the whole text."""
+    lines = F.filter(F.split(F.col("text"), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    words = F.transform("lines", lambda line: F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda word: word != "")))
+
+    def sizes(k):
+        """Lengths of the runs from k that take part."""
+        count, found = F.lit(0), []
+        for n in range(1, window):
+            count = count + F.coalesce(F.get("words", k + n - 1), F.lit(0))
+            ends = k + n <= F.size("lines")
+            found.append(F.when(ends & ((count > long_words) | ((k == 0) & (F.size("lines") == n))), n))
+        return F.array_compact(F.array(*found))
+
+    starts = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(starts, lambda k: F.transform(sizes(k), lambda n: F.struct(k.alias("k"), n.alias("size")))))
+    part = F.slice("lines", F.col("w.k") + 1, F.col("w.size"))
+    return (keyed.where("text IS NOT NULL").select("id", "version", lines.alias("lines")).withColumn("words", words)
+            .select("id", "version", "lines", F.explode(runs).alias("w"))
+            .select("id", "version", "w.k", "w.size", F.xxhash64("w.size", part).alias("h1"),
+                    F.xxhash64(F.lit(-1), F.reverse(part), "w.size").alias("h2")))
+
+
+def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                  long_words: int | None = None) -> DataFrame:
+    """(id, version, starts): for each text the windows that repeat an earlier one. `version` is a hash of the text.
+
+    With `long_words`, `starts` are all lines that such windows cover.
+    """
+    keyed = _keyed(docs, id_col, text_col).select("id", "version", "text")
+    windows = _windows(keyed, window)
+    if long_words is not None:
+        windows = windows.withColumn("size", F.lit(window)).unionByName(_short_windows(keyed, window, long_words))
     place = F.struct(F.col("id").isNotNull().alias("has_id"), "id", "version", "k")
     repeated = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
                 .where("n > 1").select("h1", "h2", "first"))
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
+    if long_words is not None:
+        later = later.withColumn("k", F.explode(F.sequence("k", F.col("k") + F.col("size") - 1)))
     return later.groupBy("id", "version").agg(F.collect_set("k").alias("starts"))
 
 
@@ -70,21 +108,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                          window: int = WINDOW) -> DataFrame:
+                          window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """(row, kept, n_lines, n_removed, n_spans): all columns of each row as `row`, and what is left of its text.
 
     Null ids come before all others. Rows with equal id and text count as one document and get the same result;
     different texts under one id are ordered by a hash of the text. A null text has no lines and stays null. Texts of
-    fewer than `window` lines stay whole. An empty table gives an empty result.
+    fewer than `window` lines stay whole, unless `long_words` is given. An empty table gives an empty result.
     """
+    covers = window if long_words is None else 1
+
     @pandas_udf(CLEANED)
     def cleaned(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clean_lines(t, s, window) for t, s in zip(texts, starts)],
+        return pd.DataFrame([clean_lines(t, s, covers) for t, s in zip(texts, starts)],
                             columns=["kept", "n_lines", "n_removed", "n_spans"])
 
     small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
-    found = later_windows(docs, id_col, text_col, window).withColumnsRenamed({"id": "at_id", "version": "at_version"})
+    found = later_windows(docs, id_col, text_col, window, long_words).withColumnsRenamed({"id": "at_id", "version": "at_version"})
     joined = rows.join(found, rows["id"].eqNullSafe(found["at_id"]) & (rows["version"] == found["at_version"]), "left")
     return joined.select("row", cleaned("text", "starts").alias("c")).select("row", "c.*")
 
@@ -99,9 +139,10 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines removed; one that loses its last line goes as a whole.
 
-    All columns stay; `n_chars`, where there is one, counts the new text.
+    One or two lines count as a passage if they are long or the whole text. All columns stay; `n_chars`, where there is
+    one, counts the new text.
     """
-    done = remove_repeated_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    done = remove_repeated_lines(docs, long_words=LONG_WORDS).where("n_removed = 0 OR n_removed < n_lines")
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
            if "n_chars" in docs.columns else None}
     return done.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
