@@ -64,6 +64,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from logtide.llm.byte_bpe import encoding_digests
+
+    return encoding_digests(read_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_cotraining": op2_cotraining,
@@ -75,6 +83,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
