@@ -82,6 +82,18 @@ class BoundedTable(dict):
         self[key] = value
         return value
 
+    def keep(self, key, value) -> None:
+        """Put a value that the caller has computed."""
+        if len(self) >= self.size:
+            self.shrink()
+        self[key] = value
+
+    def shrink(self) -> None:
+        """Start a new generation if the young one is full."""
+        if len(self) >= self.size:
+            self.old = self.copy()
+            self.clear()
+
     def forget(self) -> None:
         self.clear()
         self.old = {}

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from logtide.llm.byte_bpe import ByteCodec, encode_documents, encoding_digests, merge, read_ranks, unpacked
+from logtide.llm.byte_bpe import ROW_LEAVES, ByteCodec, PairTable, encode_documents, encoding_digests, merge, merge_rows, read_ranks, unpacked
 from logtide.llm.queries import tokenizer_file
 
 TABLE, PATTERN = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -37,11 +37,18 @@ def test_long_and_odd_texts(text):
 
 def test_every_character_is_cut_as_by_the_library():
     points = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    for at in range(0, len(points), 20_000):
-        for text in ("x".join(points[at:at + 20_000]), "".join(points[at:at + 20_000]), " ".join(points[at:at + 20_000])):
+    for at in range(0, len(points), 1_000):
+        for gap in ("", "x"):
+            text = gap.join(points[at:at + 1_000])
             assert own(text) == LIBRARY.encode_ordinary(text)
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text("ab .é\n", max_size=40), max_size=8))
+def test_texts_together_as_alone(texts):
+    assert [unpacked(x).tolist() for x in ByteCodec(TABLE, PATTERN).encode_all(texts)] == list(map(LIBRARY.encode_ordinary, texts))
+
+
 def plain(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The merges one by one over a list."""
     parts = [text[i:i + 1] for i in range(len(text))]
@@ -57,7 +64,12 @@ def plain(text: bytes, ranks: dict[bytes, int]) -> list[int]:
 @given(st.lists(st.text("abc", min_size=2, max_size=4), max_size=25, unique=True), st.text("abc", max_size=40))
 def test_merges_of_any_ranks(tokens, text):
     ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
-    assert merge(text.encode(), ranks, max(map(len, ranks))) == plain(text.encode(), ranks)
+    raw, expected = text.encode(), plain(text.encode(), ranks)
+    assert merge(raw, ranks, max(map(len, ranks))) == expected
+    if len(raw) > 1:
+        leaves, byte_ids = next(n for n in ROW_LEAVES if len(raw) <= n + 1), np.arange(256)
+        rows = merge_rows([raw, raw[:2], raw], leaves, PairTable(ranks), byte_ids)
+        assert [unpacked(r).tolist() for r in rows] == [expected, plain(raw[:2], ranks), expected]
 
 
 @settings(max_examples=100, deadline=None)
