@@ -9,7 +9,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import cotraining, decontaminate, line_crf, line_dedup, secret_scan, sharding, simhash, suffix_dedup
+from logtide.llm import (
+    collocations,
+    cotraining,
+    decontaminate,
+    line_crf,
+    line_dedup,
+    secret_scan,
+    sharding,
+    simhash,
+    suffix_dedup,
+    vector_codes,
+)
 from logtide.llm.common import read_table
 
 
@@ -64,6 +75,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compression_report(read_table(spark, folder, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocation_report(read_table(spark, folder, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,10 +102,14 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
