@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 import numpy as np
@@ -10,17 +11,34 @@ from pyspark.sql import functions as F
 
 from logtide.operators.chunks import same_keys
 from logtide.operators.ordered import Arrays, ordered_fold, with_fields
+from logtide.operators.speculate import CHUNK_ROWS, Machine, Rounds, chunk_number, fold_cut
 from logtide.settings import ALERT_LIMITER, LimiterSettings
 
 SECOND = 1_000_000
 
 
+class Kept(deque):
+    """Times of the calls that count, oldest first, and the time of the newest row."""
+
+    now = -(1 << 62)
+
+
+def _leaves_after(s: LimiterSettings) -> int:
+    """First time, after an event, at which it no longer counts."""
+    return s.window * SECOND if s.left_open else s.window * SECOND + 1
+
+
+def _limiter_machine(s: LimiterSettings) -> Machine:
+    def dump(state: Kept) -> bytes:
+        return json.dumps([t for t in state if t + _leaves_after(s) > state.now]).encode()
+
+    return Machine(Kept, _limiter_step(s), dump, lambda raw: Kept(json.loads(raw)))
+
+
 def _limiter_step(s: LimiterSettings):
-    window_us = s.window * SECOND
-    # First time at which an event recorded at t no longer counts.
-    leaves_after = window_us if s.left_open else window_us + 1
+    leaves_after = _leaves_after(s)
 
-    def step(state: deque, rows: Arrays) -> Arrays:
+    def step(state: Kept, rows: Arrays) -> Arrays:
         times = rows["ts_us"]
         n = len(times)
         allowed = np.zeros(n, dtype=bool)
@@ -40,17 +58,19 @@ def _limiter_step(s: LimiterSettings):
                 free = i + int(np.searchsorted(times[i:], state[0] + leaves_after, side="left"))
                 count[i:free] = s.limit
                 i = free
+        state.now = int(times[-1])
         return {**rows, "allowed": allowed, "current_count": count}
 
     return step
 
 
 def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key: str = "service",
-               time_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+               time_col: str = "ts", id_col: str = "event_id", chunk_rows: int = CHUNK_ROWS,
+               report: Rounds | None = None) -> DataFrame:
     """Add `allowed`, `current_count` and `remaining` to (key, time, id).
 
-    Only allowed calls count. The fold runs on three narrow columns per island of activity.
-    Where the whole window before a row holds no more than the limit, every call of the
+    Only allowed calls count. The fold runs on three narrow columns per island of activity, and on chunks of about
+    `chunk_rows` rows where an island has many; the state of a chunk is the queue of times that count. Where the whole window before a row holds no more than the limit, every call of the
     island passes, and the island does not enter the fold at all.
     """
     narrow = calls.select(key, F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"))
@@ -63,22 +83,23 @@ def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key:
         bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
         .withColumn("_joined", F.coalesce(adjacent, F.lit(False)))
         .withColumn("_pair", F.col("_n") + F.when(F.col("_joined"), F.lag("_n").over(w)).otherwise(0))
-        .withColumn("island", F.sum((~F.col("_joined")).cast("bigint")).over(w))
-        .withColumn("_contended", F.max(F.col("_pair") > settings.limit).over(Window.partitionBy(key, "island")))
-        .select(key, "_bucket", "island", "_contended")
+        .withColumn("_island", F.sum((~F.col("_joined")).cast("bigint")).over(w))
+        .withColumn("_contended", F.max(F.col("_pair") > settings.limit).over(Window.partitionBy(key, "_island")))
+        .withColumn("_chunk", chunk_number(F.col("_n"), [key, "_island"], chunk_rows))
+        .select(key, "_bucket", "_island", "_contended", "_chunk")
     )
     marked = same_keys(bucketed, summary, [key, "_bucket"])
-    contended = marked.filter("_contended").select(key, "ts_us", "id", "island")
-    folded = ordered_fold(contended, [key, "island"], ["ts_us", "id"], deque, _limiter_step(settings),
-                          with_fields(contended, "allowed boolean, current_count bigint"))
+    contended = marked.filter("_contended").select(key, "ts_us", "id", "_island", "_chunk")
+    folded = fold_cut(contended, summary.filter("_contended"), [key], ["ts_us", "id"], _limiter_machine(settings),
+                      with_fields(contended, "allowed boolean, current_count bigint", [key, "ts_us", "id", "_island"]), report=report)
     # Free islands: the count is the number of calls in the window, at most two buckets.
     bound = -(settings.window * SECOND - (1 if settings.left_open else 0))
-    order = Window.partitionBy(key, "island").orderBy("ts_us")
+    order = Window.partitionBy(key, "_island").orderBy("ts_us")
     running = order.rangeBetween(bound, 0)
-    same_time = Window.partitionBy(key, "island", "ts_us").orderBy("id")
-    ties = Window.partitionBy(key, "island", "ts_us")
+    same_time = Window.partitionBy(key, "_island", "ts_us").orderBy("id")
+    ties = Window.partitionBy(key, "_island", "ts_us")
     free = marked.filter(~F.col("_contended")).select(
-        key, "ts_us", "id", "island", F.lit(True).alias("allowed"),
+        key, "ts_us", "id", "_island", F.lit(True).alias("allowed"),
         (F.count("*").over(running) - F.count("*").over(ties)
          + F.row_number().over(same_time)).alias("current_count"))
     return folded.unionByName(free).select(

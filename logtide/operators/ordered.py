@@ -40,6 +40,16 @@ def _changes(column: pa.Array) -> np.ndarray:
     return codes[1:] != codes[:-1]
 
 
+def stretches(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
+    """Bounds of the stretches of rows with equal keys."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = True
+    for k in keys:
+        changed[1:] |= _changes(batch.column(k))
+    starts = np.flatnonzero(changed).tolist()
+    return list(zip(starts, [*starts[1:], batch.num_rows]))
+
+
 def ordered_fold(
     df: DataFrame,
     keys: list[str],
@@ -64,13 +74,8 @@ def ordered_fold(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            changed = np.zeros(batch.num_rows, dtype=bool)
-            changed[0] = True
-            for k in keys:
-                changed[1:] |= _changes(batch.column(k))
-            starts = np.flatnonzero(changed).tolist()
             parts: list[Arrays] = []
-            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            for lo, hi in stretches(batch, keys):
                 key = (True, *(batch.column(k)[lo].as_py() for k in keys))
                 if key != current:
                     current, state = key, new_state()

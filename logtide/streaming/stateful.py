@@ -6,7 +6,6 @@ the batch folds. Rows of one micro-batch are taken in time order per key.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logtide.operators.baseline import HISTORY_SCHEMA, _Baseline, _baseline_step
-from logtide.operators.limiter import _limiter_step
+from logtide.operators.limiter import Kept, _limiter_step
 from logtide.operators.suppress import _cooldown_step, _Last
 from logtide.session import use_rocksdb
 from logtide.settings import ALERT_LIMITER, BaselineSettings, LimiterSettings
@@ -95,7 +94,7 @@ class LimiterProcessor(StatefulProcessor):
         self._step = _limiter_step(self._settings)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = deque(row[0] for row in self._state.get())
+        kept = Kept(row[0] for row in self._state.get())
         out = self._step(kept, _arrays(_in_order(rows, ["ts_us", "id"])))
         self._state.put([(int(t),) for t in kept])
         yield pd.DataFrame(out)[self._columns]
