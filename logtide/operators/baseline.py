@@ -1,20 +1,30 @@
 """Rolling baselines per (service, metric).
 
-The update is a strict recurrence, so it is folded in time order. Its input is one row per
-window and metric: a service that produces a third of all log lines has no more rows here
-than any other, and the length of a fold is the time range divided by the window size.
+The update is a recurrence in time order. Its input is one row per window and metric: a service that produces a third of
+all log lines has no more rows here than any other. A long series is cut into chunks. On (ewma, variance) a chunk is the map
+
+    ewma -> f * ewma + a,        variance -> f * variance + p + q * ewma + r * ewma^2
+
+whose numbers come from its samples alone, so all chunks are summed up at once; the maps of a series are applied one after the
+other, one step per chunk, and every chunk is then folded from its own entry state, in parallel.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from logtide.operators.ordered import Arrays, ordered_fold
+from logtide.operators.chunks import same_keys
+from logtide.operators.ordered import Arrays, ordered_fold, stretches
+from logtide.operators.speculate import CHUNK_ROWS, Machine, fold_units
+from logtide.session import materialise
 from logtide.settings import FEATURES, BaselineSettings
 
 HISTORY_SCHEMA = (
@@ -71,15 +81,127 @@ def _baseline_step(settings: BaselineSettings):
     return step
 
 
-def baseline_history(samples: DataFrame, settings: BaselineSettings = BaselineSettings()) -> DataFrame:
+def decayed_sums(x: np.ndarray, keep: float) -> np.ndarray:
+    """y[i] = keep * y[i - 1] + x[i] with y[-1] = 0, in blocks: one product of matrices, and one step per block."""
+    block = 64
+    padded = np.zeros(-(-len(x) // block) * block)
+    padded[:len(x)] = x
+    i = np.arange(block)
+    powers = np.where(i[:, None] >= i[None], keep ** np.maximum(i[:, None] - i[None], 0), 0.0)
+    inside = padded.reshape(-1, block) @ powers.T
+    carry = np.empty(len(inside))
+    at, whole = 0.0, keep ** block
+    for n, last in enumerate(inside[:, -1].tolist()):
+        carry[n] = at
+        at = whole * at + last
+    return (inside + carry[:, None] * keep ** (i + 1)).reshape(-1)[:len(x)]
+
+
+def chunk_map(x: np.ndarray, alpha: float) -> tuple[float, ...]:
+    """(f, a, p, q, r) of the samples `x`, for ewma values less `x[0]`: differences stay small, and a constant series stays exact."""
+    keep, n = 1 - alpha, len(x)
+    shifted = x - x[0]
+    sums = alpha * decayed_sums(shifted, keep)  # the ewma after each sample from an ewma of 0
+    apart = shifted - np.append(0.0, sums[:-1])  # x[i] less the ewma before it
+    f = keep ** n
+    return (f, float(sums[-1]), float(alpha * keep * decayed_sums(apart * apart, keep)[-1]),
+            float(-2 * alpha * f * apart.sum()), f * (1 - f))
+
+
+SUMMARY = ("first_us bigint, last_us bigint, first double, resets boolean, f double, a double, p double, q double, r double, "
+           "n bigint, total double, tail_first double, tail_f double, tail_a double, tail_p double, tail_q double, tail_r double, tail_n bigint, "
+           "tail_total double, tail_start double")
+_SUMMARY_NAMES = [part.split()[0] for part in SUMMARY.split(", ")]
+
+
+def _summaries(rows: DataFrame, unit: list[str], settings: BaselineSettings) -> DataFrame:
+    """One row per chunk: its map, and the map of what follows the first sample after its last expiry, or its first sample."""
+    arranged = rows.repartition(*unit).sortWithinPartitions(*unit, "ts_us")
+    schema = StructType([arranged.schema[n] for n in unit] + StructType.fromDDL(SUMMARY).fields)
+    wanted = to_arrow_schema(schema)
+
+    def run(batches):
+        current, held = None, []
+
+        def close():
+            times, values = (np.concatenate(c) for c in zip(*held))
+            resets = np.flatnonzero(np.diff(times) > settings.expiry * 1_000_000)
+            start = int(resets[-1]) + 1 if len(resets) else 0
+            tail = values[start:]
+            rest = chunk_map(tail[1:], settings.alpha) if len(tail) > 1 else (1.0, 0.0, 0.0, 0.0, 0.0)
+            shift = tail[1] if len(tail) > 1 else tail[0]
+            row = [*current, times[0], times[-1], values[0], bool(len(resets)), *chunk_map(values, settings.alpha), len(values), values.sum(),
+                   shift, *rest, len(tail), tail.sum(), tail[0]]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, wanted)], schema=wanted)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts_us", "value"))
+            for lo, hi in stretches(batch, unit):
+                key = tuple(batch.column(k)[lo].as_py() for k in unit)
+                if key != current:
+                    if held:
+                        yield close()
+                    current, held = key, []
+                held.append((times[lo:hi], values[lo:hi]))
+        if held:
+            yield close()
+
+    return arranged.mapInArrow(run, schema)
+
+
+def _pack(state: _Baseline) -> bytes:
+    return struct.pack("<4d2q", state.mean, state.variance, state.std, state.ewma, state.count, state.last)
+
+
+def _unpack(raw: bytes) -> _Baseline:
+    state = _Baseline()
+    state.mean, state.variance, state.std, state.ewma, state.count, state.last = struct.unpack("<4d2q", raw)
+    return state
+
+
+def _enter(settings: BaselineSettings):
+    """Fold over the summaries of a series: the entry state of each chunk."""
+    def applied(ewma: float, variance: float, shift: float, f: float, a: float, p: float, q: float, r: float) -> tuple[float, float]:
+        e = ewma - shift
+        return f * e + a + shift, max(0.0, f * variance + p + q * e + r * e * e)
+
+    def step(state: _Baseline, rows: Arrays) -> Arrays:
+        entries = np.empty(len(rows["n"]), dtype=object)
+        for i in range(len(entries)):
+            row = {name: rows[name][i] for name in _SUMMARY_NAMES}
+            entries[i] = _pack(state)
+            maps = [row[m] for m in "fapqr"]
+            if row["resets"] or not state.count or row["first_us"] - state.last > settings.expiry * 1_000_000:
+                tail = [row[f"tail_{m}"] for m in "fapqr"]
+                ewma, variance = applied(row["tail_start"], 0.0, row["tail_first"], *tail)
+                state.count, state.mean = int(row["tail_n"]), row["tail_total"] / row["tail_n"]
+            else:
+                ewma, variance = applied(state.ewma, state.std * state.std, row["first"], *maps)
+                total = state.mean * state.count + row["total"]
+                state.count += int(row["n"])
+                state.mean = total / state.count
+            state.ewma, state.std, state.last = float(ewma), math.sqrt(variance), int(row["last_us"])
+        return {"_entry": entries}
+
+    return step
+
+
+def baseline_history(samples: DataFrame, settings: BaselineSettings = BaselineSettings(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """State before and after every sample of `samples` (service, metric, ts, value).
 
-    `prev_ewma` and `prev_std` are null for the first sample and after an expiry.
+    `prev_ewma` and `prev_std` are null for the first sample and after an expiry. A series with more than `chunk_rows` samples
+    between two expiries is folded in chunks; their entry states differ from the serial ones by rounding only.
     """
     narrow = samples.select("service", "metric", F.unix_micros("ts").alias("ts_us"),
                             F.col("value").cast("double").alias("value"))
-    folded = ordered_fold(narrow, ["service", "metric"], ["ts_us"], _Baseline,
-                          _baseline_step(settings), StructType.fromDDL(HISTORY_SCHEMA))
+    keys, schema = ["service", "metric"], StructType.fromDDL(HISTORY_SCHEMA)
+    narrow = materialise(narrow, "samples")  # small beside the logs, and read again for each step
+    if narrow.count() <= chunk_rows:
+        folded = ordered_fold(narrow, keys, ["ts_us"], _Baseline, _baseline_step(settings), schema)
+    else:
+        folded = _in_chunks(narrow, keys, settings, schema, chunk_rows)
     return folded.withColumns({
         "ts": F.timestamp_micros("ts_us"),
         "prev_ewma": F.nanvl("prev_ewma", F.lit(None).cast("double")),
@@ -87,6 +209,21 @@ def baseline_history(samples: DataFrame, settings: BaselineSettings = BaselineSe
     }).drop("ts_us")
 
 
+def _in_chunks(narrow: DataFrame, keys: list[str], settings: BaselineSettings, schema: StructType, chunk_rows: int) -> DataFrame:
+    """Each series cut evenly in time: no chunk of a regular series has more than about `chunk_rows` samples."""
+    unit = [*keys, "_chunk"]
+    spans = narrow.groupBy(*keys).agg(F.min("ts_us").alias("_low"), (F.max("ts_us") - F.min("ts_us") + 1).alias("_span"),
+                                      F.ceil(F.count("*") / F.lit(chunk_rows)).alias("_parts"))
+    part = F.floor((F.col("ts_us") - F.col("_low")) / F.ceil(F.col("_span") / F.col("_parts"))).cast("bigint")
+    rows = materialise(same_keys(narrow, spans, keys).withColumn("_chunk", part)
+                       .select(*unit, "ts_us", "value"), "baseline-rows")
+    summaries = _summaries(rows, unit, settings)
+    fields = StructType([*[summaries.schema[n] for n in unit], StructField("_entry", BinaryType())])
+    entries = materialise(ordered_fold(summaries, keys, ["_chunk"], _Baseline, _enter(settings), fields), "baseline-entries")
+    machine = Machine(_Baseline, _baseline_step(settings), _pack, _unpack)
+    return fold_units(rows, unit, ["ts_us"], entries, machine, schema).where("_exit is null").drop("_exit")
+
+
 def running_mean(samples: DataFrame) -> DataFrame:
     """Arithmetic mean and sample count up to each sample."""
     w = (Window.partitionBy("service", "metric").orderBy("ts")

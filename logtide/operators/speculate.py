@@ -77,7 +77,7 @@ def _match(left: DataFrame, right: DataFrame, names: list[str], how: str) -> Dat
     return left.join(renamed, test, how)
 
 
-def _fold(rows: DataFrame, unit: list[str], order: list[str], heads: DataFrame | None, machine: Machine, schema: StructType) -> DataFrame:
+def fold_units(rows: DataFrame, unit: list[str], order: list[str], heads: DataFrame | None, machine: Machine, schema: StructType) -> DataFrame:
     """Fold each unit from the state in its head row, or from a new one; adds `_exit`, which only the tail rows of units have."""
     staged = rows.withColumn("_entry", F.lit(None).cast("binary"))
     if heads is not None:
@@ -160,7 +160,7 @@ def fold_cut(rows: DataFrame, cut: DataFrame, keys: list[str], order: list[str],
     def exits(folded: DataFrame, name: str) -> DataFrame:
         return folded.where(F.col("_exit").isNotNull()).select(*unit, F.col("_exit").alias(name))
 
-    versions = [(materialise(_fold(rows, unit, order, None, machine, inner), "fold-first"), None)]
+    versions = [(materialise(fold_units(rows, unit, order, None, machine, inner), "fold-first"), None)]
     states = materialise(same_keys(chunks, exits(versions[0][0], "_left"), unit)
                          .withColumn("_used", F.lit(machine.dump(machine.new_state()))), "fold-states")
     while True:
@@ -175,12 +175,12 @@ def fold_cut(rows: DataFrame, cut: DataFrame, keys: list[str], order: list[str],
             report.serial = True
             first = open_.groupBy(*island).agg(F.min_by("_entry", "_chunk").alias("_entry"), F.min("_chunk").alias("_from"))
             rest = same_keys(rows, first.drop("_entry"), island).where(F.col("_chunk") >= F.col("_from")).drop("_from")
-            again = materialise(_fold(rest, island, order, first.drop("_from"), machine, inner), "fold-rest")
+            again = materialise(fold_units(rest, island, order, first.drop("_from"), machine, inner), "fold-rest")
             versions.append((again, same_keys(chunks, first.select(*island, "_from"), island)
                              .where(F.col("_chunk") >= F.col("_from")).select(*unit)))
             break
         report.rounds += 1
-        again = materialise(_fold(_match(rows, open_, unit, "left_semi"), unit, order, open_, machine, inner), "fold-again")
+        again = materialise(fold_units(_match(rows, open_, unit, "left_semi"), unit, order, open_, machine, inner), "fold-again")
         versions.append((again, open_.select(*unit)))
         renewed = same_keys(open_, exits(again, "_left"), unit).withColumnRenamed("_entry", "_used")
         states = materialise(_match(states, open_, unit, "left_anti").unionByName(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
 
+from logtide.operators.baseline import baseline_history
 from logtide.operators.limiter import rate_limit
 from logtide.operators.speculate import Rounds
 from logtide.operators.suppress import NEVER, cooldown, orbit_map, suppress
-from logtide.settings import LimiterSettings, SuppressionSettings
+from logtide.settings import BaselineSettings, LimiterSettings, SuppressionSettings
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -137,3 +139,43 @@ def test_contended_key_over_many_tasks(spark, left_open, limit, window):
     got = {r.event_id: (r.allowed, r.current_count) for r in rate_limit(frame(spark, rows), s, chunk_rows=150, report=report).collect()}
     assert got == expected
     assert report.chunks > 8
+
+
+def baseline_loop(times, values, s):
+    count = mean = std = ewma = last = 0
+    for t, x in zip(times, values):
+        if count and t - last > s.expiry:
+            count = 0
+        before = (ewma, std) if count else (None, None)
+        if not count:
+            count, mean, ewma, std = 1, x, x, 0.0
+        else:
+            variance = (1 - s.alpha) * (std * std + s.alpha * (x - ewma) ** 2)
+            ewma, std, count = s.alpha * x + (1 - s.alpha) * ewma, math.sqrt(variance), count + 1
+            mean += (x - mean) / count
+        last = t
+        yield (*before, ewma, std, mean, count)
+
+
+@pytest.mark.parametrize("expiry,chunk_rows", [(7 * 86_400, 100), (400, 100), (90, 37), (10**9, 1_000)])
+def test_baselines_of_long_series(spark, expiry, chunk_rows):
+    rng, s = np.random.default_rng(expiry), BaselineSettings(expiry=expiry)
+    series = {("a", "m"): (np.cumsum(rng.integers(1, 120, 3_000)), rng.normal(1e6, 3, 3_000)),
+              ("a", "k"): (np.arange(0, 60_000, 60), np.full(1_000, 50.0)),
+              (None, "m"): (np.append(np.arange(0, 6_000, 60), 10**7), rng.normal(0, 1e-3, 101)),
+              ("b", "m"): (np.array([5]), np.array([1.5]))}
+    rows = [(i[0], i[1], T0 + timedelta(seconds=int(t)), float(x)) for i, (ts, xs) in series.items() for t, x in zip(ts, xs)]
+    frame = spark.createDataFrame(rows, "service string, metric string, ts timestamp, value double").repartition(4)
+    got = {}
+    for r in baseline_history(frame, s, chunk_rows).collect():
+        got.setdefault((r.service, r.metric), []).append(r)
+    for key, (ts, xs) in series.items():
+        rows = sorted(got.pop(key), key=lambda r: r.ts)
+        assert len(rows) == len(ts)
+        for r, (e0, s0, e, d, m, n) in zip(rows, baseline_loop(ts.tolist(), xs.tolist(), s)):
+            assert r.sample_count == n and (r.prev_ewma is None) == (e0 is None)
+            assert r.ewma == pytest.approx(e, rel=1e-12, abs=1e-15) and r["mean"] == pytest.approx(m, rel=1e-11, abs=1e-12)
+            assert r.std_dev == pytest.approx(d, rel=1e-7, abs=1e-12)
+            if e0 is not None:
+                assert r.prev_ewma == pytest.approx(e0, rel=1e-12, abs=1e-15) and r.prev_std == pytest.approx(s0, rel=1e-7, abs=1e-12)
+    assert not got
