@@ -13,11 +13,12 @@ from logtide.catalog import views as v
 from logtide.operators import parse as p
 from logtide.operators.multiline import assemble
 from logtide.operators.windows import document_keys, service_windows, window_records
-from logtide.session import scratch_dir
+from logtide.session import materialise, scratch_dir
 from logtide.settings import RECORD_TYPE, WindowSettings
 from logtide.sources import readers as rd
 from logtide.sources import writers as wr
 from logtide.streaming import jobs, stateful
+from logtide.streaming.events import start_events
 
 SIX_HOURS = WindowSettings(size=v.HOURS_6)
 
@@ -118,17 +119,23 @@ FUTURE = '{"timestamp":"2031-01-01T00:00:00Z","service_name":"auth-svc","level":
 SPLIT = "2024-01-16"
 
 
+def in_batches(parts: list[DataFrame], path: str, run) -> None:
+    """Write each part as it lies and run the stream over what is new: one batch, in many tasks, for each part."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run()
+
+
 def late_stream(spark, folder):
     """Three batches: early rows; rows that are partly late, with one from the future; rows that are all late by then."""
     base_dir = scratch_dir(spark, "late")
     raw = v.raw_messages(spark, folder).select("event_id", "key", "value", "partition", "offset", "timestamp")
     even = F.col("event_id") % 2 == 0
     ahead = raw.limit(1).withColumn("value", F.lit(FUTURE))
-    for part in (raw.filter(even & (F.col("timestamp") < SPLIT)), raw.filter(~even).unionByName(ahead),
-                 raw.filter(even & (F.col("timestamp") >= SPLIT))):
-        part.drop("event_id").coalesce(1).write.mode("append").parquet(f"{base_dir}/in")
-    stream = rd.read_message_files(spark, f"{base_dir}/in", max_files=1)
-    jobs.start_ingest(stream, base_dir, f"{base_dir}/checkpoint", available_now=True).awaitTermination()
+    parts = [part.drop("event_id") for part in (raw.filter(even & (F.col("timestamp") < SPLIT)), raw.filter(~even).unionByName(ahead),
+                                                raw.filter(even & (F.col("timestamp") >= SPLIT)))]
+    in_batches(parts, f"{base_dir}/in", lambda: jobs.start_ingest(
+        rd.read_message_files(spark, f"{base_dir}/in"), base_dir, f"{base_dir}/checkpoint", available_now=True).awaitTermination())
     letters = spark.read.parquet(f"{base_dir}/dead_letters").groupBy("reason").agg(
         F.count("*").alias("n"), F.count("timestamp").alias("placed"))
     logs = spark.read.parquet(f"{base_dir}/logs").agg(
@@ -210,6 +217,20 @@ def limiter_stream(spark, folder):
         "event_id", "service", "allowed")
 
 
+def events_stream(spark, folder):
+    """Window features in four batches to events: some rows come a batch late, and the last batch only moves the watermark on."""
+    base_dir = scratch_dir(spark, "events-stream")
+    rows = materialise(base.feature_rows(spark, folder), "events-features")
+    third = F.floor((F.unix_micros("ts") - F.unix_micros(v.moment("2024-01-01 00:00:00"))) / (10 * 86_400_000_000))
+    part = F.least(F.lit(2), F.greatest(F.lit(0), third)) + F.when(F.pmod(F.xxhash64("service", "ts"), F.lit(7)) == 0, 1).otherwise(0)
+    dealt = rows.withColumn("_part", F.least(F.lit(2), part))
+    ahead = rows.limit(1).withColumns({"service": F.lit("ahead"), "ts": v.moment("2031-01-01 00:00:00")})
+    in_batches([*[dealt.where(F.col("_part") == i).drop("_part") for i in range(3)], ahead], f"{base_dir}/in", lambda: start_events(
+        spark.readStream.schema(rows.schema).parquet(f"{base_dir}/in"), base_dir, f"{base_dir}/checkpoint", "21 days",
+        detection=al.SENSITIVE, suppression=al.WINDOWED, available_now=True).awaitTermination())
+    return al._event_columns(spark.read.parquet(f"{base_dir}/events"))
+
+
 def updated_windows(spark, folder):
     """Window stream in update mode, upserted into a table."""
     base_dir = scratch_dir(spark, "updated-windows")
@@ -241,6 +262,7 @@ QUERIES = {
     "B1_ewma_stream": baseline_stream,
     "A1_cooldown_stream": cooldown_stream,
     "L1_limiter_stream": limiter_stream,
+    "E4_events_stream": events_stream,
 }
 
 _RAW = v.with_ctes(v.LOGS, v.RAW_MESSAGES)
@@ -296,4 +318,5 @@ FROM events_in WHERE event_id % 10 <> 7""",
     "B1_ewma_stream": base.ORACLE["B1_ewma"],
     "A1_cooldown_stream": al.ORACLE["A1_cooldown"],
     "L1_limiter_stream": al.ORACLE["L1_alert_limiter"],
+    "E4_events_stream": al.ORACLE["E4_detect_to_events"],
 }

@@ -81,6 +81,10 @@ def _baseline_step(settings: BaselineSettings):
     return step
 
 
+def baseline_machine(settings: BaselineSettings) -> Machine:
+    return Machine(_Baseline, _baseline_step(settings), _pack, _unpack)
+
+
 def decayed_sums(x: np.ndarray, keep: float) -> np.ndarray:
     """y[i] = keep * y[i - 1] + x[i] with y[-1] = 0, in blocks: one product of matrices, and one step per block."""
     block = 64
@@ -220,8 +224,7 @@ def _in_chunks(narrow: DataFrame, keys: list[str], settings: BaselineSettings, s
     summaries = _summaries(rows, unit, settings)
     fields = StructType([*[summaries.schema[n] for n in unit], StructField("_entry", BinaryType())])
     entries = materialise(ordered_fold(summaries, keys, ["_chunk"], _Baseline, _enter(settings), fields), "baseline-entries")
-    machine = Machine(_Baseline, _baseline_step(settings), _pack, _unpack)
-    return fold_units(rows, unit, ["ts_us"], entries, machine, schema).where("_exit is null").drop("_exit")
+    return fold_units(rows, unit, ["ts_us"], entries, baseline_machine(settings), schema).where("_exit is null").drop("_exit")
 
 
 def running_mean(samples: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _leaves_after(s: LimiterSettings) -> int:
     return s.window * SECOND if s.left_open else s.window * SECOND + 1
 
 
-def _limiter_machine(s: LimiterSettings) -> Machine:
+def limiter_machine(s: LimiterSettings) -> Machine:
     def dump(state: Kept) -> bytes:
         return json.dumps([t for t in state if t + _leaves_after(s) > state.now]).encode()
 
@@ -90,7 +90,7 @@ def rate_limit(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key:
     )
     marked = same_keys(bucketed, summary, [key, "_bucket"])
     contended = marked.filter("_contended").select(key, "ts_us", "id", "_island", "_chunk")
-    folded = fold_cut(contended, summary.filter("_contended"), [key], ["ts_us", "id"], _limiter_machine(settings),
+    folded = fold_cut(contended, summary.filter("_contended"), [key], ["ts_us", "id"], limiter_machine(settings),
                       with_fields(contended, "allowed boolean, current_count bigint", [key, "ts_us", "id", "_island"]), report=report)
     # Free islands: the count is the number of calls in the window, at most two buckets.
     bound = -(settings.window * SECOND - (1 if settings.left_open else 0))

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from logtide.operators.chunks import same_keys
 from logtide.operators.ordered import Arrays, ordered_fold, stretches, with_fields
-from logtide.operators.speculate import CHUNK_ROWS, Machine, Rounds, cut_islands, speculative_fold
+from logtide.operators.speculate import CHUNK_ROWS, Machine, Rounds, cut_islands, fold_units, speculative_fold
 from logtide.session import materialise
 from logtide.settings import SuppressionSettings
 
@@ -56,6 +56,15 @@ def _cooldown_step(cooldown_us: int):
     return step
 
 
+def cooldown_machine(seconds: int) -> Machine:
+    def load(raw: bytes) -> _Last:
+        state = _Last()
+        state.at = json.loads(raw)
+        return state
+
+    return Machine(_Last, _cooldown_step(seconds * SECOND), lambda state: json.dumps(state.at).encode(), load)
+
+
 def orbit_map(times: np.ndarray, cooldown_us: int) -> tuple[np.ndarray, np.ndarray]:
     """The chunk with these distinct times as a map: (bounds, ends).
 
@@ -248,17 +257,23 @@ def suppress(alerts: DataFrame, settings: SuppressionSettings = SuppressionSetti
     Returns (service, ts, id column, decision columns); join on the id for more. A stretch without
     silence is cut into chunks of about `chunk_rows` alerts; `report` is told how they were folded.
     """
-    narrow = alerts.select(
-        "service", F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"),
-        F.lit(False).alias("is_clear"))
+    narrow = _narrow(alerts, time_col, id_col)
     id_type = narrow.schema["id"].dataType.simpleString()
     if clears is not None:
         narrow = narrow.unionByName(clears.select(
             F.lit("").alias("service"), F.unix_micros(time_col).alias("ts_us"),
             F.lit(None).cast(id_type).alias("id"), F.lit(True).alias("is_clear")))
-    machine = Machine(_Storm, _storm_step(settings), _dump_storm(settings), _load_storm)
+    machine = storm_machine(settings)
     folded = speculative_fold(narrow, [], "ts_us", ["ts_us", "service", "id"], settings.memory * SECOND, machine,
                               with_fields(narrow, DECISION), chunk_rows, report=report)
+    return _decisions(folded, time_col, id_col)
+
+
+def _narrow(alerts: DataFrame, time_col: str, id_col: str) -> DataFrame:
+    return alerts.select("service", F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"), F.lit(False).alias("is_clear"))
+
+
+def _decisions(folded: DataFrame, time_col: str, id_col: str) -> DataFrame:
     return folded.filter(F.col("reason") != "clear").select(
         "service", F.timestamp_micros("ts_us").alias(time_col), F.col("id").alias(id_col),
         "reason", "allowed", "is_storm", "storm_services",
@@ -266,6 +281,25 @@ def suppress(alerts: DataFrame, settings: SuppressionSettings = SuppressionSetti
         F.timestamp_micros("storm_until_us").alias("storm_until"))
 
 
+def storm_machine(settings: SuppressionSettings) -> Machine:
+    return Machine(_Storm, _storm_step(settings), _dump_storm(settings), _load_storm)
+
+
+def suppress_slice(alerts: DataFrame, entry: bytes | None, settings: SuppressionSettings = SuppressionSettings(),
+                   time_col: str = "ts", id_col: str = "event_id") -> tuple[DataFrame, bytes | None]:
+    """`suppress` for the next slice of event time: decisions, and the state to start the slice after it from.
+
+    The state names the services that are cooling down or alerting. The alerts of a slice, those of one micro-batch, go through one task.
+    """
+    machine = storm_machine(settings)
+    if entry is not None:
+        machine.new_state = lambda: _load_storm(bytes(entry))
+    narrow = _narrow(alerts, time_col, id_col).withColumn("_slice", F.lit(0))
+    folded = materialise(fold_units(narrow, ["_slice"], ["ts_us", "service", "id"], None, machine, with_fields(narrow, DECISION)), "storm-slice")
+    tail = folded.where(F.col("_exit").isNotNull()).select("_exit").first()
+    return _decisions(folded.where(F.col("_exit").isNull()), time_col, id_col), bytes(tail[0]) if tail else entry
+
+
 def suppression_counts(decisions: DataFrame) -> DataFrame:
     """Suppressed alerts by (service, reason)."""
     return (decisions.filter(F.col("reason").isin("cooldown", "storm_active"))

@@ -1,7 +1,9 @@
 """Keyed state on streams: baselines, cooldown and rate limit.
 
 The state of a key is a handful of numbers, kept in the state store with the same rules as
-the batch folds. Rows of one micro-batch are taken in time order per key.
+the batch folds. Without a `delay`, rows of one micro-batch are taken in time order per key and come out at once; the state
+stays. With a `delay`, rows are folded in event-time order over all batches and state that no longer matters leaves
+the store (`streaming.ordered`).
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logtide.operators.baseline import HISTORY_SCHEMA, _Baseline, _baseline_step
-from logtide.operators.limiter import Kept, _limiter_step
-from logtide.operators.suppress import _cooldown_step, _Last
+from logtide.operators.limiter import Kept, _limiter_step, limiter_machine
+from logtide.operators.suppress import _cooldown_step, _Last, cooldown_machine
 from logtide.session import use_rocksdb
 from logtide.settings import ALERT_LIMITER, BaselineSettings, LimiterSettings
+from logtide.streaming.ordered import ordered_stream
 
 SECOND = 1_000_000
 
@@ -103,8 +106,12 @@ class LimiterProcessor(StatefulProcessor):
         pass
 
 
-def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSettings()) -> DataFrame:
+def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSettings(), delay: str | None = None) -> DataFrame:
     """Baseline history of a stream of (service, metric, ts, value)."""
+    if delay is not None:
+        from logtide.streaming.events import history_stream
+
+        return history_stream(samples, delay, settings)
     use_rocksdb(samples.sparkSession)
     narrow = samples.select("service", "metric", F.unix_micros("ts").alias("ts_us"),
                             F.col("value").cast("double").alias("value"))
@@ -113,23 +120,30 @@ def baseline_stream(samples: DataFrame, settings: BaselineSettings = BaselineSet
 
 
 def cooldown_stream(alerts: DataFrame, seconds: int = 600, time_col: str = "ts",
-                    id_col: str = "event_id") -> DataFrame:
+                    id_col: str = "event_id", delay: str | None = None) -> DataFrame:
     """Cooldown decisions (service, id, allowed) on a stream of alerts."""
     use_rocksdb(alerts.sparkSession)
     narrow = alerts.select("service", F.unix_micros(time_col).alias("at_us"), F.col(id_col).alias("id"))
     id_type = narrow.schema["id"].dataType.simpleString()
+    if delay is not None:
+        return ordered_stream(narrow.withColumn("ts", F.timestamp_micros("at_us")), ["service"], "ts", delay, cooldown_machine(seconds), "at_us",
+                              ["at_us", "id"], seconds * SECOND, f"service string, id {id_type}, allowed boolean").withColumnRenamed("id", id_col)
     return narrow.groupBy("service").transformWithStateInPandas(
         CooldownProcessor(seconds, ["service", "id", "allowed"]),
         f"service string, id {id_type}, allowed boolean", "Append", "None").withColumnRenamed("id", id_col)
 
 
 def limiter_stream(calls: DataFrame, settings: LimiterSettings = ALERT_LIMITER, key: str = "service",
-                   time_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+                   time_col: str = "ts", id_col: str = "event_id", delay: str | None = None) -> DataFrame:
     """Limiter decisions (key, id, allowed, current_count) on a stream of calls."""
     use_rocksdb(calls.sparkSession)
     narrow = calls.select(key, F.unix_micros(time_col).alias("ts_us"), F.col(id_col).alias("id"))
     id_type = narrow.schema["id"].dataType.simpleString()
     key_type = narrow.schema[key].dataType.simpleString()
+    if delay is not None:
+        return ordered_stream(
+            narrow.withColumn("ts", F.timestamp_micros("ts_us")), [key], "ts", delay, limiter_machine(settings), "ts_us", ["ts_us", "id"],
+            settings.window * SECOND + 1, f"{key} {key_type}, id {id_type}, allowed boolean, current_count bigint").withColumnRenamed("id", id_col)
     return narrow.groupBy(key).transformWithStateInPandas(
         LimiterProcessor(settings, [key, "id", "allowed", "current_count"]),
         f"{key} {key_type}, id {id_type}, allowed boolean, current_count bigint", "Append", "None",
