@@ -218,7 +218,7 @@ def _storm_step(s: SuppressionSettings):
             if current is None:
                 current = list(recent)
             members[i] = current
-            cooled[i] = state.cooldown_until.get(service, now)
+            cooled[i] = max(state.cooldown_until.get(service, now), now)
             stormed[i] = max(state.storm_until, now)
             state.now = now
         return {"reason": reason, "allowed": reason == "allowed", "is_storm": reason == "storm", "storm_services": members,
