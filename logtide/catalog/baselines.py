@@ -11,7 +11,7 @@ from logtide.operators import detect as d
 from logtide.operators import forest
 from logtide.operators.windows import features, service_windows
 from logtide.session import materialise
-from logtide.settings import BaselineSettings, WindowSettings
+from logtide.settings import BaselineSettings, DetectionSettings, WindowSettings
 
 AS_OF = "2024-01-20 00:00:00"
 AS_OF_US = 1_705_708_800_000_000
@@ -184,15 +184,104 @@ verdicts AS (
   FROM judged)"""
 PLAIN = v.with_ctes(v.LOGS, v.windows_sql(v.HOURS_6))
 FULL = v.with_ctes(v.LOGS, v.windows_sql(v.HOURS_6), history_sql(), SCORED)
-TRAINING = v.with_ctes(v.LOGS, v.windows_sql(3_600)) + """,
-stored AS (SELECT service, ts_us, request_volume, count(*) OVER (PARTITION BY service ORDER BY ts_us
+_POINTS = """stored AS (SELECT *, count(*) OVER (PARTITION BY service ORDER BY ts_us
     RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS n FROM features),
 points AS (
   SELECT service, min(ts_us) AS model_id FROM stored WHERE n >= 100 GROUP BY service
   UNION ALL
   SELECT p.service, (SELECT min(s.ts_us) FROM stored s WHERE s.service = p.service AND s.n >= 100
-      AND s.ts_us >= p.model_id + 604800000000) FROM points p WHERE p.model_id IS NOT NULL)
-"""
+      AND s.ts_us >= p.model_id + 604800000000) FROM points p WHERE p.model_id IS NOT NULL)"""
+TRAINING = v.with_ctes(v.LOGS, v.windows_sql(3_600), _POINTS)
+SETTINGS = DetectionSettings()
+
+
+def _mixed(x: str) -> str:
+    """`forest.mixed` of an expression; lambdas stand for names that are used twice."""
+    once = "lambda x: xor(x, x >> 16) * 73244475 % 4294967296"
+    return f"list_transform(list_transform(list_transform([{x}], {once}), {once}), lambda x: xor(x, x >> 16))[1]"
+
+
+def _hash(*parts: str) -> str:
+    out = "CAST(0 AS BIGINT)"
+    for part in parts:
+        out = _mixed(f"xor({out}, CAST(({part}) % 4294967296 AS BIGINT))")
+    return out
+
+
+_TREE = "service, model_id, tree"
+_DEPTH = 8  # of the 168 hours in a training window
+
+
+def _level_sql(i: int) -> str:
+    """Nodes of level i, and the rows below those that split. A split takes the varying feature with the largest draw."""
+    low, high = (", ".join(f"{f}(x[{k}])" for k in range(1, 6)) for f in ("min", "max"))
+    key = _mixed("xor(of_node, f - 1)")
+    return f"""
+counted{i} AS MATERIALIZED (
+  SELECT {_TREE}, node, count(*) AS size, [{low}] AS low, [{high}] AS high FROM grown{i} GROUP BY ALL),
+drawn{i} AS MATERIALIZED (
+  SELECT c.*, depth, {_mixed("xor(h_feature, node)")} AS of_node, {_mixed("xor(h_cut, node)")} / 4294967296 AS share,
+    list_filter([1, 2, 3, 4, 5], lambda f: c.high[f] > c.low[f]) AS varying FROM counted{i} c JOIN trees USING ({_TREE})),
+nodes{i} AS MATERIALIZED (
+  SELECT {_TREE}, node, size, feature, low[feature] + share * (high[feature] - low[feature]) AS threshold FROM (
+    SELECT *, CASE WHEN depth > {i} AND len(varying) > 0 THEN 8 - list_max(list_transform(varying, lambda f: {key} * 8 + 8 - f)) % 8 END AS feature
+    FROM drawn{i})),
+grown{i + 1} AS MATERIALIZED (
+  SELECT {_TREE}, 2 * node + 1 + CAST(x[feature] > threshold AS BIGINT) AS node, x
+  FROM grown{i} JOIN nodes{i} USING ({_TREE}, node) WHERE feature IS NOT NULL),"""
+
+
+#: All trees, grown level by level; no training window holds more rows than a tree takes, so there is nothing to sample.
+FOREST = _POINTS + f""",
+sets AS MATERIALIZED (
+  SELECT p.service, p.model_id, f.ts_us, [error_rate, p99_latency_ms, avg_latency_ms, request_volume, warn_rate] AS x
+  FROM points p JOIN stored f ON f.service = p.service AND f.ts_us > p.model_id - 604800000000 AND f.ts_us <= p.model_id
+  WHERE p.model_id IS NOT NULL),
+models AS (SELECT service, model_id, count(*) AS rows, CAST(ceil(log2(greatest(count(*), 2))) AS BIGINT) AS depth FROM sets GROUP BY ALL),
+trees AS MATERIALIZED (
+  SELECT *, {_hash(str(SETTINGS.seed), "model_id", "1", "tree")} AS h_feature, {_hash(str(SETTINGS.seed), "model_id", "2", "tree")} AS h_cut
+  FROM models, range({SETTINGS.trees}) r(tree)),
+grown0 AS MATERIALIZED (SELECT {_TREE}, CAST(0 AS BIGINT) AS node, x FROM trees JOIN sets USING (service, model_id)),{"".join(map(_level_sql, range(_DEPTH)))}
+counted{_DEPTH} AS (SELECT {_TREE}, node, count(*) AS size FROM grown{_DEPTH} GROUP BY ALL),
+nodes AS MATERIALIZED (
+  {" UNION ALL ".join(f"SELECT * FROM nodes{i}" for i in range(_DEPTH))}
+  UNION ALL SELECT {_TREE}, node, size, NULL, NULL FROM counted{_DEPTH})"""
+
+
+def _walk_sql(i: int) -> str:
+    return f"""
+walk{i + 1} AS MATERIALIZED (
+  SELECT {_TREE}, w.ts_us, w.x, 2 * node + 1 + CAST(w.x[feature] > threshold AS BIGINT) AS node
+  FROM walk{i} w JOIN nodes USING ({_TREE}, node) WHERE feature IS NOT NULL),"""
+
+
+def _leaves_sql(i: int) -> str:
+    return (f"SELECT {_TREE}, w.ts_us, {i} AS steps, coalesce(n.size, 0) AS size FROM walk{i} w "
+            f"LEFT JOIN nodes n USING ({_TREE}, node) WHERE n.feature IS NULL")
+
+
+#: Every row through the trees of its model: steps to its leaf, and the mean path of the rows in it.
+FOREST_SCORES = FOREST + f""",
+live AS MATERIALIZED (
+  SELECT f.service, f.ts_us, max(p.model_id) AS model_id, any_value([error_rate, p99_latency_ms, avg_latency_ms, request_volume, warn_rate]) AS x
+  FROM features f LEFT JOIN points p ON p.service = f.service AND p.model_id <= f.ts_us GROUP BY f.service, f.ts_us),
+walk0 AS MATERIALIZED (
+  SELECT {_TREE}, ts_us, x, CAST(0 AS BIGINT) AS node FROM (
+    SELECT service, model_id, ts_us, x FROM sets UNION SELECT service, model_id, ts_us, x FROM live WHERE model_id IS NOT NULL)
+  JOIN trees USING (service, model_id)),{"".join(map(_walk_sql, range(_DEPTH)))}
+leaves AS ({" UNION ALL ".join(map(_leaves_sql, range(_DEPTH + 1)))}),
+paths AS (
+  SELECT service, model_id, ts_us, avg(steps + CASE WHEN size <= 1 THEN 0.0 WHEN size <= 2 THEN 1.0
+    ELSE 2.0 * (ln(size - 1.0) + {forest.EULER_GAMMA}) - 2.0 * (size - 1.0) / size END) AS path FROM leaves GROUP BY ALL),
+raw AS (
+  SELECT service, model_id, ts_us, -power(2.0, -path / greatest(1.0, 2.0 * (ln(rows - 1.0) + {forest.EULER_GAMMA}) - 2.0 * (rows - 1.0) / rows)) AS raw_score
+  FROM paths JOIN models USING (service, model_id)),
+offsets AS (
+  SELECT service, model_id, quantile_cont(raw_score, {SETTINGS.contamination}) AS low FROM raw JOIN sets USING (service, model_id, ts_us) GROUP BY ALL),
+forest AS (
+  SELECT l.service, l.ts_us, coalesce(raw_score - low, 0.0) AS forest_score, coalesce(raw_score - low < {SETTINGS.forest_threshold}, false) AS tier2_fired,
+    l.model_id IS NOT NULL AS model_available
+  FROM live l LEFT JOIN raw r USING (service, model_id, ts_us) LEFT JOIN offsets o USING (service, model_id))"""
 
 ORACLE = {
     "B1_ewma": FULL + "SELECT service, metric, ts_us, round(ewma, 6) AS ewma, round(prev_ewma, 6) AS prev_ewma FROM history",
@@ -221,6 +310,15 @@ SELECT s.service, {AS_OF_US} - first_us < 86400000000 AS learning, first_us,
   min(f.ts_us) AS oldest_us, max(f.ts_us) AS newest_us
 FROM points p JOIN stored f ON f.service = p.service AND f.ts_us > p.model_id - 604800000000 AND f.ts_us <= p.model_id
 WHERE p.model_id IS NOT NULL GROUP BY p.service, p.model_id""",
+    "D4_isolation_forest": v.with_ctes(v.LOGS, v.windows_sql(3_600), FOREST) + f"""SELECT service, model_id, {SETTINGS.trees} AS trees,
+  CAST(any_value(rows) AS INTEGER) AS rows, CAST(count(feature) AS INTEGER) AS splits FROM nodes JOIN models USING (service, model_id) GROUP BY ALL""",
+    "D5_forest_scores": v.with_ctes(v.LOGS, v.windows_sql(3_600), FOREST_SCORES)
+    + "SELECT service, ts_us, round(forest_score, 6) AS forest_score, tier2_fired, model_available FROM forest",
+    "D6_two_tier_verdicts": v.with_ctes(v.LOGS, v.windows_sql(3_600), history_sql(), SCORED, FOREST_SCORES)
+    + """, joined AS (SELECT j.*, f.tier2_fired, CASE WHEN learning THEN 'learning' WHEN max_z > 5.0 THEN 'zscore_critical'
+    WHEN max_z > 3.0 AND f.tier2_fired THEN 'both_tiers' ELSE 'none' END AS verdict_reason FROM judged j JOIN forest f USING (service, ts_us))
+SELECT service, ts_us, round(max_z, 6) AS max_z, learning, tier1_fired, tier2_fired, verdict_reason,
+  verdict_reason IN ('zscore_critical', 'both_tiers') AS is_anomaly FROM joined""",
     "D6_verdicts": FULL + """SELECT service, ts_us, round(max_z, 6) AS max_z, learning, tier1_fired, verdict_reason,
   verdict_reason = 'zscore_critical' AS is_anomaly FROM verdicts""",
     "D7_anomalies": FULL + """SELECT service, ts_us, round(max_z, 6) AS max_z, verdict_reason FROM verdicts

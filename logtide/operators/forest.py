@@ -3,6 +3,9 @@
 Spark spreads the work over (service, model): a model is trained from the window vectors of
 one training window, and a row is scored against the model that was valid at its time.
 Scoring is spread over bounded blocks of rows.
+
+Randomness is counted, not drawn in sequence: every decision is a hash of (seed, model, purpose, tree, and row or node and
+feature). A tree is thus a function of its data alone, whatever grows it; the SQL counterpart grows the same ones.
 """
 
 from __future__ import annotations
@@ -27,6 +30,26 @@ MODEL_SCHEMA = (
 )
 
 
+#: Purposes of draws, and their range.
+SAMPLE, FEATURE, CUT = 0, 1, 2
+DRAWS = 1 << 32
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A mixing function on 32-bit numbers; products stay below 2^63, so SQL integers can hold them."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(16))) * np.uint64(73_244_475) % np.uint64(DRAWS)
+    return x ^ (x >> np.uint64(16))
+
+
+def draws(*parts: int | np.ndarray) -> np.ndarray:
+    """Whole numbers below 2^32, one for each combination of the parts."""
+    out = np.uint64(0)
+    for part in parts:
+        out = mixed(out ^ (np.asarray(part).astype(np.int64) % DRAWS).astype(np.uint64))
+    return out.astype(np.int64)
+
+
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search in a binary tree of n leaves."""
     n = np.asarray(n, dtype=float)
@@ -39,8 +62,8 @@ def tree_depth(rows: int) -> int:
     return math.ceil(math.log2(max(rows, 2)))
 
 
-def grow_forest(x: np.ndarray, trees: int, rows: int,
-                rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grow_forest(x: np.ndarray, trees: int, rows: int, seed: int,
+                model: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Isolation trees over random samples of `rows` vectors, all grown level by level.
 
     Trees are complete binary heaps laid out one after the other: node i has the children
@@ -51,7 +74,8 @@ def grow_forest(x: np.ndarray, trees: int, rows: int,
     feature = np.full(trees * nodes, -1, dtype=np.int32)
     threshold = np.zeros(trees * nodes)
     size = np.zeros(trees * nodes, dtype=np.int32)
-    picks = np.argsort(rng.random((trees, len(x))), axis=1)[:, :rows]
+    order = draws(seed, model, SAMPLE, np.arange(trees)[:, None], np.arange(len(x)))
+    picks = np.argsort(order, axis=1, kind="stable")[:, :rows]
     points = x[picks].reshape(trees * rows, x.shape[1])
     base = np.repeat(np.arange(trees) * nodes, rows)
     at = base.copy()
@@ -65,9 +89,11 @@ def grow_forest(x: np.ndarray, trees: int, rows: int,
         low = np.minimum.reduceat(points[order], starts, axis=0)
         high = np.maximum.reduceat(points[order], starts, axis=0)
         varies = high > low
-        chosen = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        tree, node = np.divmod(here, nodes)
+        drawn = draws(seed, model, FEATURE, tree[:, None], node[:, None], np.arange(x.shape[1]))
+        chosen = np.where(varies, drawn, -1).argmax(axis=1)  # the largest draw, the first of equals
         pick = np.arange(len(here))
-        cut = low[pick, chosen] + rng.random(len(here)) * (high - low)[pick, chosen]
+        cut = low[pick, chosen] + draws(seed, model, CUT, tree, node) / DRAWS * (high - low)[pick, chosen]
         splits = varies.any(axis=1)
         feature[here[splits]] = chosen[splits]
         threshold[here[splits]] = cut[splits]
@@ -138,7 +164,7 @@ def train(store: DataFrame, settings: DetectionSettings = DetectionSettings(),
     """One row per model with the node arrays of all its trees.
 
     A group is one model's training window: at most `training_window / window size` rows.
-    The random numbers are seeded by the model, so every run grows the same trees.
+    Rows are numbered by time, and draws depend on the model and these numbers: every run grows the same trees.
     """
     names, seed, trees, tree_rows = list(metrics), settings.seed, settings.trees, settings.tree_rows
 
@@ -146,8 +172,7 @@ def train(store: DataFrame, settings: DetectionSettings = DetectionSettings(),
         x = group.sort_values("ts")[names].to_numpy(dtype=float)
         model_id = int(group["model_id"].iloc[0])
         rows = min(tree_rows, len(x))
-        rng = np.random.default_rng([seed, model_id & 0xFFFFFFFF])
-        feature, threshold, size = grow_forest(x, trees, rows, rng)
+        feature, threshold, size = grow_forest(x, trees, rows, seed, model_id)
         return pd.DataFrame([{
             "service": group["service"].iloc[0], "model_id": model_id, "trees": trees,
             "rows": rows, "feature": feature, "threshold": threshold, "size": size}])

@@ -123,8 +123,8 @@ def test_chunked_running_values(spark):
 def test_forest_prefers_outliers():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, (300, 5)), np.full((1, 5), 12.0)])
-    model = forest.grow_forest(x, 100, 256, np.random.default_rng(42))
-    again = forest.grow_forest(x, 100, 256, np.random.default_rng(42))
+    model = forest.grow_forest(x, 100, 256, 42)
+    again = forest.grow_forest(x, 100, 256, 42)
     assert all(np.array_equal(a, b) for a, b in zip(model, again))
     path = forest.mean_path_lengths(x, 100, 256, *model)
     score = -np.power(2.0, -path / float(forest.average_path(256)))
@@ -134,7 +134,7 @@ def test_forest_prefers_outliers():
 
 def test_forest_sizes_add_up():
     x = np.random.default_rng(1).normal(0, 1, (50, 3))
-    feature, _, size = forest.grow_forest(x, 10, 50, np.random.default_rng(2))
+    feature, _, size = forest.grow_forest(x, 10, 50, 2)
     nodes = len(feature) // 10
     for tree in range(10):
         f, s = feature[tree * nodes:(tree + 1) * nodes], size[tree * nodes:(tree + 1) * nodes]
@@ -143,8 +143,23 @@ def test_forest_sizes_add_up():
             assert s[i] == s[2 * i + 1] + s[2 * i + 2]
 
 
+def test_trees_are_functions_of_their_data_and_number():
+    """More trees leave the first ones as they are; another seed or model gives others."""
+    x = np.random.default_rng(5).normal(0, 1, (300, 4))
+    few, many = forest.grow_forest(x, 3, 64, 7, 1_704_067_200_000_000), forest.grow_forest(x, 9, 64, 7, 1_704_067_200_000_000)
+    assert all(np.array_equal(a, b[:len(a)]) for a, b in zip(few, many))
+    assert any(not np.array_equal(a, b) for a, b in zip(few, forest.grow_forest(x, 3, 64, 8, 1_704_067_200_000_000)))
+    assert any(not np.array_equal(a, b) for a, b in zip(few, forest.grow_forest(x, 3, 64, 7, 1_704_067_200_000_001)))
+
+
+def test_draws_are_even():
+    got = forest.draws(42, 1, forest.SAMPLE, np.arange(100)[:, None], np.arange(1_000))
+    assert len(np.unique(got)) > 99_000 and abs(got.mean() / 2**32 - 0.5) < 0.005
+    assert np.bincount(got.ravel() >> 28, minlength=16).min() > 5_900
+
+
 def test_constant_features_do_not_split():
-    feature, _, size = forest.grow_forest(np.ones((20, 5)), 5, 20, np.random.default_rng(0))
+    feature, _, size = forest.grow_forest(np.ones((20, 5)), 5, 20, 0)
     assert (feature == -1).all() and size.sum() == 100
 
 
