@@ -105,6 +105,18 @@ def archived(spark, folder):
         *[F.col(c).cast("bigint").alias(c) for c in ("year", "month", "day", "hour")], "n", "chars")
 
 
+def archived_stream(spark, folder):
+    """The archive as a stream, in three batches."""
+    base_dir = scratch_dir(spark, "archive-stream")
+    raw = v.raw_messages(spark, folder).select("event_id", "key", "value", "partition", "offset", "timestamp")
+    in_batches([raw.filter(F.pmod("event_id", F.lit(3)) == i).drop("event_id") for i in range(3)], f"{base_dir}/in", lambda: wr.start_archive(
+        rd.read_message_files(spark, f"{base_dir}/in"), f"{base_dir}/out", f"{base_dir}/checkpoint", F.col("timestamp"), 1_000,
+        available_now=True).awaitTermination())
+    back = spark.read.text(f"{base_dir}/out")
+    return back.groupBy("year", "month", "day", "hour").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")).select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("year", "month", "day", "hour")], "n", "chars")
+
+
 def dead_letters(spark, folder):
     """The ingest stream: unusable messages are split off, everything else becomes logs."""
     base_dir = scratch_dir(spark, "ingest")
@@ -253,6 +265,7 @@ QUERIES = {
     "S6_update_mode_stream": updated_windows,
     "S7_upsert_reports": upserted_reports,
     "S8_archive": archived,
+    "S8_archive_stream": archived_stream,
     "S9_dead_letters": dead_letters,
     "S9_late_stream": late_stream,
     "S10_registry": registry,
@@ -272,6 +285,8 @@ SELECT *, CASE WHEN value = '' THEN 'empty message' WHEN NOT json_valid(value) T
 """
 _MULTILINE = ps.ORACLE["P15_multiline"]
 _OWNED = _MULTILINE[:_MULTILINE.rindex("SELECT source_file")]
+_ARCHIVE = _RAW + """SELECT CAST(year(timestamp) AS BIGINT) AS year, CAST(month(timestamp) AS BIGINT) AS month, CAST(day(timestamp) AS BIGINT) AS day,
+  CAST(hour(timestamp) AS BIGINT) AS hour, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars FROM raw_messages GROUP BY ALL"""
 _WIN = v.with_ctes(v.LOGS, v.windows_sql(v.HOURS_6))
 
 ORACLE = {
@@ -296,8 +311,8 @@ SELECT service || '-' || CAST(start_us // 1000 AS VARCHAR) AS doc_id, 'logs-aggr
     "S6_update_mode_stream": _WIN + "SELECT service, start_us, request_volume, error_count, warn_count, p99_latency_ms FROM windows",
     "S7_upsert_reports": rep.BASE + """SELECT event_id, new_severity AS severity, new_summary AS summary, ai_generated,
   CAST(CASE WHEN ai_generated THEN 1 ELSE 0 END AS BIGINT) AS seq FROM merged""",
-    "S8_archive": _RAW + """SELECT CAST(year(timestamp) AS BIGINT) AS year, CAST(month(timestamp) AS BIGINT) AS month, CAST(day(timestamp) AS BIGINT) AS day,
-  CAST(hour(timestamp) AS BIGINT) AS hour, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars FROM raw_messages GROUP BY ALL""",
+    "S8_archive": _ARCHIVE,
+    "S8_archive_stream": _ARCHIVE,
     "S9_dead_letters": _JUDGED + """SELECT coalesce(parse_error, 'written') AS reason, count(*) AS n FROM judged GROUP BY 1""",
     "S9_late_stream": ps.FULL + f""", marked AS (
   SELECT *, event_id % 2 = 0 AS even, epoch_us(event_time) // 60000000 * 60000000 + 90000000 AS final_us FROM normalised),

@@ -84,7 +84,10 @@ def rolled_up(spark, folder):
 
 
 def window_rows(spark: SparkSession, folder: str, settings: WindowSettings) -> DataFrame:
-    windows = w.service_windows(v.logs(spark, folder), settings)
+    return _record_rows(w.service_windows(v.logs(spark, folder), settings))
+
+
+def _record_rows(windows: DataFrame) -> DataFrame:
     tops = F.array_join(F.transform("top_errors", lambda e: F.concat(
         e["message"], F.lit("="), e["count"].cast("string"))), ";")
     return windows.select(
@@ -116,6 +119,32 @@ def closed_windows(spark, folder):
         "service", start_us(), "request_volume", "error_count", "warn_count", "p99_latency_ms")
 
 
+def _streamed_windows(spark, folder, final: bool) -> DataFrame:
+    """Logs in three batches that overlap in time, and one from the future that closes all windows; the stream's table."""
+    from logtide.catalog.io import in_batches
+    from logtide.session import scratch_dir
+    from logtide.streaming.jobs import start_window_records
+
+    base, logs = scratch_dir(spark, "window-records"), v.logs(spark, folder)
+    ahead = logs.limit(1).withColumns({"event_time": v.moment("2031-01-01 00:00:00"), "service": F.lit("ahead")})
+    parts = [logs.filter(F.pmod("event_id", F.lit(3)) == i) for i in range(3)]
+    # The batches overlap in time, so the watermark has to wait for all of them.
+    patient = WindowSettings(size=v.HOURS_6, allowed_lateness=40 * 86_400)
+    in_batches([*parts, ahead], f"{base}/in", lambda: start_window_records(
+        spark.readStream.schema(logs.schema).parquet(f"{base}/in"), base, f"{base}/checkpoint", patient, final, available_now=True).awaitTermination())
+    return _record_rows(spark.read.parquet(f"{base}/windows").where("service <> 'ahead'"))
+
+
+def streamed_windows(spark, folder):
+    """Complete windows, written once when they are final."""
+    return _streamed_windows(spark, folder, True)
+
+
+def refined_windows(spark, folder):
+    """Complete windows, written again with every batch that changes them."""
+    return _streamed_windows(spark, folder, False)
+
+
 QUERIES = {
     "W1_tumbling_windows": counts,
     "W1_windows_by_level": counts_by_level,
@@ -130,6 +159,8 @@ QUERIES = {
     "W9_late_minutes": late_counts,
     "W11_window_env": identity,
     "W12_roll_up": rolled_up,
+    "W8_windows_stream": streamed_windows,
+    "W8_windows_refined_stream": refined_windows,
     "W13_service_windows": window_summary,
     "W13_service_minutes": minute_summary,
 }
@@ -192,6 +223,8 @@ FROM marked GROUP BY service""",
     "W11_window_env": _base(v.HOURS_6) + "SELECT service, start_us, env FROM windows",
     "W12_roll_up": _base(86_400) + """SELECT service, start_us, request_volume, error_count, warn_count, p50_latency_ms, p95_latency_ms,
   p99_latency_ms, avg_latency_ms, round(error_count / request_volume, 6) AS error_rate FROM windows""",
+    "W8_windows_stream": _summary(v.HOURS_6),
+    "W8_windows_refined_stream": _summary(v.HOURS_6),
     "W13_service_windows": _summary(v.HOURS_6),
     "W13_service_minutes": _summary(60),
 }

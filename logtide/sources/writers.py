@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def write_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str):
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last writer wins: the row with the largest `order` per key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
+    """Last writer wins: the row with the largest `order` per key, of equals the one whose JSON text is the largest."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order], F.desc(F.to_json(F.struct("*"))))
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -92,6 +94,26 @@ def write_archive(messages: DataFrame, path: str, at: Column, records: int = 100
     )
 
 
+def archive_batch(path: str, at: Column, records: int = 100_000) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body: the archive of `write_archive` with a folder for the batch below each hour.
+
+    A batch that is repeated writes the same folders and replaces them.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        parts = [*ARCHIVE_PARTITIONS, "batch"]
+        (archive_rows(batch, at).withColumn("batch", F.lit(batch_id)).hint("rebalance", *ARCHIVE_PARTITIONS)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+         .option("compression", "gzip").option("maxRecordsPerFile", records).text(path))
+
+    return body
+
+
+def start_archive(messages: DataFrame, path: str, checkpoint: str, at: Column, records: int = 100_000, available_now: bool = False):
+    """Start the archive stream of messages in the broker layout: every message once, below its hour."""
+    writer = messages.writeStream.foreachBatch(archive_batch(path, at, records)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 # Where a message stood in the source; with these a dead letter can be replayed.
 COORDINATES = {"key": "string", "partition": "int", "offset": "bigint", "timestamp": "timestamp"}
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions.levels import is_error
+from logtide.functions.scalars import message_key
 from logtide.operators.parse import (
     known_services,
     normalise,
@@ -19,7 +20,7 @@ from logtide.operators.parse import (
     parse_messages,
     parsed_records,
 )
-from logtide.operators.windows import document_keys, rate, window_end, window_start
+from logtide.operators.windows import document_keys, rate, summarise_cells, window_end, window_start
 from logtide.settings import WindowSettings
 from logtide.sources.writers import dead_letters, remove, table_exists, upsert
 
@@ -55,6 +56,50 @@ def window_stream(logs: DataFrame, settings: WindowSettings = WindowSettings(),
         F.when(F.col("latency_count") > 0, F.expr("latency_sum div latency_count")).alias("avg_latency_ms"))
 
 
+def cell_stream(logs: DataFrame, settings: WindowSettings = WindowSettings(), time_col: str = "event_time") -> DataFrame:
+    """Cells of complete windows on a stream: counts by latency value, env and error text, as `operators.windows` has them in batch.
+
+    The state holds distinct values with their counts, not rows, and is spread over them: a busy service is not one key.
+    """
+    said = F.when(is_error(F.col("level")), message_key(F.col("message"), settings.message_chars))
+    known = known_services(logs).withWatermark(time_col, settings.watermark).withColumn("said", said)
+    counted = known.groupBy(F.window(time_col, settings.duration), "service", "latency_ms", "env", "said").agg(
+        F.count("*").alias("n"), F.count_if(is_error(F.col("level"))).alias("errors"),
+        F.count_if(F.col("level") == "WARNING").alias("warnings"), F.min(time_col).alias("first_time"))
+    return counted.select("service", F.col("window.start").alias("window_start"), "latency_ms", "env", "said",
+                          "n", "errors", "warnings", "first_time")
+
+
+CELL_KEYS = ["service", "window_start", "latency_ms", "env", "said"]
+
+
+def window_batch(tables: str, settings: WindowSettings = WindowSettings(), final: bool = True) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body: cells to complete windows with their top errors, upserted into the table `windows`.
+
+    With `final`, a batch has all cells of the windows that the watermark has closed, and nothing else is kept. Otherwise a batch has
+    the cells that changed: they are upserted into the table `cells`, and each window they touch is summed up again from there.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        cells = batch
+        if not final:
+            dated = batch.withColumns({"index_date": F.to_date("window_start"), "seq": F.lit(batch_id).cast("bigint")})
+            upsert(dated, f"{tables}/cells", CELL_KEYS, ["seq"], "index_date")
+            touched = dated.select("index_date", "service", "window_start").distinct()
+            cells = batch.sparkSession.read.schema(dated.schema).parquet(f"{tables}/cells").join(
+                touched, ["index_date", "service", "window_start"], "left_semi").drop("index_date", "seq")
+        upsert_windows(summarise_cells(cells, settings.size, settings.top_errors), batch_id, f"{tables}/windows")
+
+    return body
+
+
+def start_window_records(logs: DataFrame, tables: str, checkpoint: str, settings: WindowSettings = WindowSettings(),
+                         final: bool = True, available_now: bool = False):
+    """Start the stream of complete window aggregates: once when they are final, or again with every change."""
+    writer = (cell_stream(logs, settings).writeStream.outputMode("append" if final else "update")
+              .foreachBatch(window_batch(tables, settings, final)).option("checkpointLocation", checkpoint))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process everything that is available and return the written table."""
     query = (stream.writeStream.format("parquet").outputMode(mode)
