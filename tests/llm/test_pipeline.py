@@ -47,8 +47,8 @@ def test_all_but_the_last_return_the_columns_of_documents(stages):
 
 def test_stages_against_brute_force(spark, stages):
     from llm.test_decontaminate import brute as contaminated
-    from llm.test_line_dedup import brute as cleaned
-    from llm.test_simhash import close, roots, slow_fingerprint
+    from llm.test_jaccard import groups
+    from llm.test_line_dedup_short import brute as cleaned
 
     rows = {name: ({r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}) for name, before, after in stages}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
@@ -58,13 +58,11 @@ def test_stages_against_brute_force(spark, stages):
     assert len([i for i in clean if i in after]) > 0.95 * len(clean)
 
     before, after = rows["line_dedup"]
-    expected = {i: kept for i, (n, gone, _, kept) in cleaned([(i, r.text) for i, r in before.items()]).items() if not gone or gone < n}
-    assert {i: r.text for i, r in after.items()} == expected
+    assert {i: r.text for i, r in after.items()} == cleaned([(i, r.text) for i, r in before.items()])
 
     before, after = rows["near_dedup"]
-    prints = {i: slow_fingerprint(r.text) for i, r in before.items()}
-    root = roots(list(prints), [(a, b) for a in prints for b in prints if a < b and close(prints[a], prints[b])])
-    assert set(after) == set(root.values()) and all(after[i] == before[i] for i in after)
+    kept = set(groups({i: r.text for i, r in before.items()}).values())
+    assert set(after) == kept and all(after[i] == before[i] for i in after)
 
     before, after = rows["decontaminate"]
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
