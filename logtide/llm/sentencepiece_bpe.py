@@ -14,9 +14,11 @@ has one. Equal cuts are encoded once per process, in a table of bounded size.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 from logtide.llm.common import BoundedTable, id_and_text, map_batches
 
 MARK = "▁"
-#: Entries of the tables of encoded cuts and of checked pairs, per process.
+#: Entries of the tables of encoded cuts, of their parts and of checked pairs, per process.
 CUT_TABLE, PART_TABLE, PAIR_TABLE = 120_000, 40_000, 150_000
+#: The first two where a process has the memory to itself, about 300 MB: a partition then meets few words twice as new ones.
+WIDE_CUTS, WIDE_PARTS = 400_000, 200_000
 #: Longer cuts are encoded each time.
 LONGEST_KEPT = 64
 NO_MERGE = float("-inf")
@@ -42,10 +46,11 @@ class PieceCodec:
     """Encoder and decoder for one model, given as the bytes of its file.
 
     Supported are merge-type models with byte fallback whose normaliser leaves the text as it is
-    apart from marking spaces; others are refused with a ValueError.
+    apart from marking spaces; others are refused with a ValueError. `cut_table` and `part_table` bound the
+    entries kept; they change the speed, never the ids.
     """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cut_table: int = CUT_TABLE, part_table: int = PART_TABLE):
         from sentencepiece import sentencepiece_model_pb2 as layout
 
         proto = layout.ModelProto()
@@ -91,8 +96,8 @@ class PieceCodec:
         #: Two characters that stand together in some piece; no merge ever joins others.
         self.joined = {piece[i - 1:i + 1] for piece in self.ids for i in range(1, len(piece))}
         self.length = [len(piece) for piece in self.pieces]
-        self.cuts = BoundedTable(self._encode_cut, CUT_TABLE)
-        self.parts = BoundedTable(self._split, PART_TABLE)
+        self.cuts = BoundedTable(self._encode_cut, cut_table)
+        self.parts = BoundedTable(self._split, part_table)
         self.pairs = BoundedTable(self._pair_holds, PAIR_TABLE)
         self._runs = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -233,9 +238,21 @@ def _is_character(raw: bytes) -> bool:
 
 
 @lru_cache(maxsize=2)
-def codec(model: bytes) -> PieceCodec:
-    """One codec per process and model."""
-    return PieceCodec(model)
+def codec(model: bytes, cut_table: int = CUT_TABLE, part_table: int = PART_TABLE) -> PieceCodec:
+    """One codec per process, model and sizes."""
+    return PieceCodec(model, cut_table, part_table)
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Pause the search for reference cycles: the codec makes none, and its tables are large to walk again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,33 +266,35 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
         for part in _slices(batch):
-            ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())],
-                ["doc_id", "ids", "decoded"])
+            with _no_cycles():
+                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
+                decoded = pa.array([own.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
     return map_batches(id_and_text(docs, id_col, text_col), work, "doc_id long, ids array<int>, decoded string",
                        lambda: codec(sent.value).forget())
 
 
-def encoding_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
+                     cut_table: int = WIDE_CUTS, part_table: int = WIDE_PARTS) -> DataFrame:
     """Digests of `encode_documents`, computed in the same pass: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = codec(sent.value)
+        own = codec(sent.value, cut_table, part_table)
         for part in _slices(batch):
             counts, of_ids, of_text = [], [], []
-            for text in part.column(1).to_pylist():
-                ids = own.encode(text or "")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            with _no_cycles():
+                for text in part.column(1).to_pylist():
+                    ids = own.encode(text or "")
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), work, SCHEMA, lambda: codec(sent.value).forget())
+    return map_batches(id_and_text(docs, id_col, text_col), work, SCHEMA, lambda: codec(sent.value, cut_table, part_table).forget())
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
