@@ -147,8 +147,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(id, version, n_words, n_hit, n_items, items_sha256) of every document; `version` is a hash of its text.
 
     A word is hit if it lies in an occurrence of an item's window. Null texts have no words, null item texts no window;
-    windows of items without an id count as hits but name no item. Rows with equal id and text are one row of the result;
-    ids may be null. Both tables may be empty.
+    windows of items without an id count as hits but name no item. There is one row per row of `docs`, repeated ones
+    included; ids may be null. Both tables may be empty.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
@@ -166,7 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             .select("id", "version", F.size(F.array_distinct(F.flatten("runs"))).cast("long").alias("n_hit")))
     named = (found.join(windows.where("item_id IS NOT NULL"), ["size", "h1", "h2"])
              .groupBy("id", "version").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    out = read.select("id", "version", "n_words").distinct()
+    out = read.select("id", "version", "n_words")
     for more in (hits, named):
         more = more.withColumnsRenamed({"id": "at_id", "version": "at_version"})
         out = out.join(more, out["id"].eqNullSafe(more["at_id"]) & (out["version"] == more["at_version"]), "left").drop("at_id", "at_version")
@@ -182,10 +182,12 @@ def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any hit, with all their columns."""
+    """The documents without any hit, with all their columns, whatever their names; repeated rows stay or go together."""
     bad = contamination(docs, items).where("n_hit > 0").select(F.col("id").alias("bad_id"), F.col("version").alias("bad_version"))
-    version = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (version == F.col("bad_version")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("version"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("version") == F.col("bad_version"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""
