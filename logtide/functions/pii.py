@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,18 @@ GUARDS = {
 }
 
 
-def replace_matches(text: Column, name: str) -> Column:
-    pattern, label = PATTERNS[name]
+# What `\b` and `\s` are to engines that read them as ASCII.
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def plain_pattern(pattern: str) -> str:
+    """A pattern of RE2, as SQL has it, with the same matches in Spark: ASCII edges and spaces, and `$` only at the very end."""
+    return pattern.replace(r"\b", _EDGE).replace(r"\s", r"\t\n\f\r ").replace("($|", r"(\z|")
+
+
+def replace_matches(text: Column, name: str, patterns: dict[str, tuple[str, str]] = PATTERNS) -> Column:
+    pattern, label = patterns[name]
     return F.when(text.rlike(GUARDS[name]), F.regexp_replace(text, pattern, label)).otherwise(text)
 
 
@@ -98,12 +110,16 @@ def scrub_count(text: Column) -> Column:
     return _clean_text(text)["_n"]
 
 
-def scrub_column(df: DataFrame, text: str, out: str, count_out: str) -> DataFrame:
-    """Add the redacted text and the replacement count, one projection per pattern."""
+def scrub_column(df: DataFrame, text: str, out: str, count_out: str, patterns: dict[str, tuple[str, str]] = PATTERNS) -> DataFrame:
+    """Add the redacted text and the replacement count, one projection per pattern.
+
+    Other `patterns` have the same names, so that the same guards hold; a replacement may put back groups as `$1`.
+    """
     staged = df.withColumn(out, F.col(text)).withColumn(count_out, F.lit(0))
-    for name, (_, label) in PATTERNS.items():
+    for name, (_, replacement) in patterns.items():
+        label = re.sub(r"\$\d", "", replacement)
         # The pattern runs once: what it replaced is the number of labels that were not there before.
-        staged = staged.withColumn("_redacted", replace_matches(F.col(out), name)).withColumns({
+        staged = staged.withColumn("_redacted", replace_matches(F.col(out), name, patterns)).withColumns({
             out: F.col("_redacted"),
             count_out: F.col(count_out) + _labels(F.col("_redacted"), label) - _labels(F.col(out), label),
         })
