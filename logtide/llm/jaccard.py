@@ -1,11 +1,12 @@
 """Near-duplicates of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share all minima of one band of a MinHash signature: 32 bands of 5 hashes miss a pair of similarity 0.8 with
-probability (1 - 0.8^5)^32 = 3e-6, and closer pairs more rarely still. Every candidate pair is then decided on the shingles
-themselves. SimHash candidates would need about 11 of 64 bits for this similarity, where the segments of the pigeonring
-have five bits each and nearly every document meets every other.
+Candidates are found by SimHash with the pigeonring of operator 5: fingerprints of the same shingles, linked by chains of segments
+at 4 or fewer differing bits. Sets of similarity 0.8 differ in about 10 of 64 bits, where the segments have five bits
+each and nearly every document meets every other, so a second search takes the rest: sets that share all minima of one band of a
+MinHash signature. Its 32 bands of 5 hashes miss a pair of similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6, and closer
+pairs more rarely still. Every candidate pair of either search is then decided on the shingles themselves.
 
-Equal sets are one node. In each bucket the nodes are first compared with one that a hash draws, so
+Equal sets are one node. A bucket has the nodes of one band key, or of a fingerprint and those close to it. In each bucket the nodes are first compared with one that a hash draws, so
 that a node meets different ones in its buckets. Buckets that these pairs leave in several components do not list their
 other pairs: the members are alike, but most not enough. Buckets that share members are a group, and each set A of a group is written as what
 sets it apart, D(A): the difference from the group's centre C, the shingles that more than half of its sets have. For any C the
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from logtide.llm.common import map_batches, mix64, stored, text_bytes
 from logtide.llm.components import connected_components
-from logtide.llm.simhash import SEED, keep_one_of_each
+from logtide.llm.simhash import SEED, close_pairs, keep_one_of_each, majority_bits
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
 #: The similarity, 4 / 5, as two whole numbers: decided without rounding.
 SHARED, OF = 4, 5
+#: Differing bits of the fingerprints that the pigeonring looks for; its joins are on 25 bits, with five they would be on 21.
+CLOSE_BITS = 4
 #: Nodes of a group that share a copy of its centre; classes of nodes by the differences they need in common.
 GROUP_PART, CLASSES = 50, 16
 #: Shingles that are hashed for the signature at a time.
@@ -71,19 +74,29 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, node, n, keys): hash and size of the set of shingles, keys of the bands; none without words."""
+    """(doc_id, version, node, n, fp, keys): hash, size and SimHash of the set of shingles, keys of the bands; none without words."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for text in text_bytes(batch.column("text")):
             found = shingle_set(text)
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             sizes.append(len(found))
+            prints.append(majority_bits(found))
             keys.append(band_keys(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("version"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-             pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "version", "node", "n", "keys"])
+             pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "version", "node", "n", "fp", "keys"])
 
-    return map_batches(_texts(docs), work, "doc_id long, version long, node long, n long, keys array<long>")
+    return map_batches(_texts(docs), work, "doc_id long, version long, node long, n long, fp long, keys array<long>")
+
+
+def close_nodes(nodes: DataFrame, threshold: int = CLOSE_BITS) -> DataFrame:
+    """(node, n, key): for each fingerprint of `nodes` (node, n, fp) a bucket of its nodes and those of larger, close ones."""
+    worded = nodes.where("n > 0").select("node", "n", "fp")
+    pairs = stored(close_pairs(worded.select("fp").distinct(), threshold).distinct(), "jaccard-close")
+    close = pairs.join(worded, pairs["b"] == worded["fp"]).select("node", "n", F.col("a").alias("fp"))
+    return worded.unionByName(close).select("node", "n", F.xxhash64(F.lit("simhash"), "fp").alias("key"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,8 +130,8 @@ def _sizes_allow(a: str, b: str):
 
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, n, keys, at_id, at_version) that link all nodes of a group of similar ones."""
-    banded = nodes.select("node", "n", F.explode("keys").alias("key"))
+    """(a, b): pairs of nodes (node, n, fp, keys, at_id, at_version) that link all nodes of a group of similar ones."""
+    banded = nodes.select("node", "n", F.explode("keys").alias("key")).unionByName(close_nodes(nodes))
     drawn = F.struct(F.xxhash64("key", "node"), "node", "n")
     shared = (banded.groupBy("key").agg(F.min(drawn).alias("head"), F.count("*").alias("many"))
               .where("many > 1").select("key", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")))
@@ -208,8 +221,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     marks = stored(signatures(docs), "jaccard")
     nodes = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "version")).alias("at"),
-                                             F.first("n").alias("n"), F.first("keys").alias("keys"))
-                   .select("node", "first", F.col("at.doc_id").alias("at_id"), F.col("at.version").alias("at_version"), "n", "keys"),
+                                             F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+                   .select("node", "first", F.col("at.doc_id").alias("at_id"), F.col("at.version").alias("at_version"), "n", "fp", "keys"),
                    "jaccard-nodes")
     groups = connected_components(similar_pairs(docs, nodes))
     rooted = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))

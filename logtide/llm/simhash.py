@@ -35,7 +35,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))]
-    values = np.array(hashes, "<u8")
+    return majority_bits(np.array(hashes, "<u8"))
+
+
+def majority_bits(values: np.ndarray) -> int:
+    """SimHash of 64-bit hashes (little-endian): the bits that more than half of them have set."""
     set_in = np.zeros(BITS, np.int64)
     for at in range(0, len(values), BLOCK):
         block = values[at:at + BLOCK]
