@@ -32,14 +32,13 @@ def correlated_anomalies(events: DataFrame, anomalies: DataFrame | None = None,
                          fields: list[str] | None = None) -> DataFrame:
     """Newest anomalies of other services within `radius` seconds of each event.
 
-    An event looks at about `2 * limit` stretches of rows and picks at most `limit` rows, however many services are busy
-    around it. Rows are never paired with all rows of their time range.
+    An event looks at no more than `limit` rows, however many services are busy around it and however long the range is.
     """
     found = anomalies if anomalies is not None else events
     fields = fields or [c for c in CORRELATED_FIELDS if c in found.columns]
     return newest_of_others(
         events, found, "service", "event_id", _shift("ts", -radius), _shift("ts", radius), "ts", "event_id",
-        [F.col(f).alias(f"other_{f}") for f in fields], limit, 2 * radius)
+        [F.col(f).alias(f"other_{f}") for f in fields], limit)
 
 
 def recent_deployments(events: DataFrame, deployments: DataFrame, payload: list[str],
