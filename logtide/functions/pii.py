@@ -77,18 +77,20 @@ def count_matches(text: Column, name: str) -> Column:
 def _clean_array(records: Column, texts: list[str], others: list[str]) -> Column:
     """Array of structs with the text fields redacted and `_n`, the replacements made.
 
-    One pass over the array per pattern: inside a pass the text is a plain value, so the
-    test, the replacement and the count do not repeat the earlier patterns.
+    Two passes over the array per pattern: inside a pass the text is a plain value, so the test and the replacement do not
+    repeat the earlier patterns, and matches are counted only where the replacement has changed something.
     """
     def apply(array: Column, name: str) -> Column:
-        def one(r: Column) -> Column:
+        def replaced(r: Column) -> Column:
+            return F.struct(*[r[f].alias(f) for f in [*texts, *others, "_n"]], *[replace_matches(r[f], name).alias(f"_new_{f}") for f in texts])
+
+        def counted(r: Column) -> Column:
             n = r["_n"]
             for f in texts:
-                n = n + F.coalesce(count_matches(r[f], name), F.lit(0))
-            return F.struct(*[replace_matches(r[f], name).alias(f) for f in texts],
-                            *[r[f].alias(f) for f in others], n.alias("_n"))
+                n = n + F.when(r[f] != r[f"_new_{f}"], F.regexp_count(r[f], F.lit(PATTERNS[name][0]))).otherwise(0)
+            return F.struct(*[r[f"_new_{f}"].alias(f) for f in texts], *[r[f].alias(f) for f in others], n.alias("_n"))
 
-        return F.transform(array, one)
+        return F.transform(F.transform(array, replaced), counted)
 
     out = F.transform(records, lambda r: F.struct(
         *[r[f].alias(f) for f in [*texts, *others]], F.lit(0).alias("_n")))
@@ -145,6 +147,25 @@ def _without_n(array: Column, fields: list[str]) -> Column:
     return F.transform(array, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
 
 
+def scrub_nested(df: DataFrame, lists: dict[str, tuple[list[str], list[str]]], maps: list[str], count: str) -> DataFrame:
+    """Redact lists of structs (text fields, other fields) and the values of maps in place; `count` is the replacements made.
+
+    Every text is read once: the clean lists and the counts come from one column that holds both.
+    """
+    staged = {name: _clean_array(F.col(name), *fields) for name, fields in lists.items()}
+    for name in maps:
+        entries = F.transform(F.map_entries(name), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
+        staged[name] = _clean_array(entries, ["text"], ["key"])
+    total = F.lit(0)
+    for name in staged:
+        total = total + _sum_n(F.col(f"_clean_{name}"))
+    clean = {name: _without_n(F.col(f"_clean_{name}"), [*texts, *others]) for name, (texts, others) in lists.items()}
+    for name in maps:
+        clean[name] = F.map_from_entries(_without_n(F.col(f"_clean_{name}"), ["key", "text"]))
+    cleaned = df.withColumns({f"_clean_{n}": c for n, c in staged.items()}).withColumns({count: total, **clean})
+    return cleaned.drop(*[f"_clean_{n}" for n in staged])
+
+
 def scrub_records(records: Column, texts: list[str], others: list[str]) -> Column:
     """Array of structs with the text fields redacted and the other fields as they are."""
     return _without_n(_clean_array(records, texts, others), [*texts, *others])
