@@ -37,22 +37,34 @@ def write_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str):
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last writer wins: the row with the largest `order` per key, of equals the one whose JSON text is the largest."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order], F.desc(F.to_json(F.struct("*"))))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
+    by_key = Window.partitionBy(*keys)
+    newest = df.withColumn("_rank", F.rank().over(by_key.orderBy(*[F.desc(o) for o in order]))).filter(F.col("_rank") == 1).drop("_rank")
+    # Only equals are written as JSON.
+    text = F.when(F.col("_equals") > 1, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    marked = newest.withColumn("_equals", F.count("*").over(by_key)).withColumn("_text", text)
+    return (marked.withColumn("_rank", F.row_number().over(by_key.orderBy(F.desc("_text")))).filter(F.col("_rank") == 1)
+            .drop("_rank", "_equals", "_text"))
 
 
 def upsert(batch: DataFrame, path: str, keys: list[str], order: list[str], partition: str) -> None:
     """Merge rows into a Parquet table by key; only the touched partitions are rewritten.
 
     The partition must be a function of the key. Rewriting is idempotent: the same batch
-    twice gives the same table.
+    twice gives the same table. The batch is computed once, though it is used twice.
     """
     spark = batch.sparkSession
-    merged = batch
-    if table_exists(spark, path):
+    if not table_exists(spark, path):
+        return _write_latest(batch, path, keys, order, partition)
+    batch = batch.persist()
+    try:
         touched = batch.select(partition).distinct()
         current = spark.read.schema(batch.schema).parquet(path)
-        merged = current.join(touched, partition, "left_semi").unionByName(batch)
+        _write_latest(current.join(touched, partition, "left_semi").unionByName(batch), path, keys, order, partition)
+    finally:
+        batch.unpersist()
+
+
+def _write_latest(merged: DataFrame, path: str, keys: list[str], order: list[str], partition: str) -> None:
     (
         latest_rows(merged, keys, order).hint("rebalance", partition)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

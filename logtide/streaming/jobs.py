@@ -80,14 +80,18 @@ def window_batch(tables: str, settings: WindowSettings = WindowSettings(), final
     the cells that changed: they are upserted into the table `cells`, and each window they touch is summed up again from there.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        cells = batch
-        if not final:
-            dated = batch.withColumns({"index_date": F.to_date("window_start"), "seq": F.lit(batch_id).cast("bigint")})
+        if final:
+            return upsert_windows(summarise_cells(batch, settings.size, settings.top_errors), batch_id, f"{tables}/windows")
+        # Without this every use of the batch would load the state and fold the rows again.
+        dated = batch.withColumns({"index_date": F.to_date("window_start"), "seq": F.lit(batch_id).cast("bigint")}).persist()
+        try:
             upsert(dated, f"{tables}/cells", CELL_KEYS, ["seq"], "index_date")
             touched = dated.select("index_date", "service", "window_start").distinct()
             cells = batch.sparkSession.read.schema(dated.schema).parquet(f"{tables}/cells").join(
                 touched, ["index_date", "service", "window_start"], "left_semi").drop("index_date", "seq")
-        upsert_windows(summarise_cells(cells, settings.size, settings.top_errors), batch_id, f"{tables}/windows")
+            upsert_windows(summarise_cells(cells, settings.size, settings.top_errors), batch_id, f"{tables}/windows")
+        finally:
+            dated.unpersist()
 
     return body
 
