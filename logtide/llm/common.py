@@ -27,6 +27,8 @@ def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
 
 #: Rows of an Arrow batch. Texts are long: the default of 10,000 would put tens of megabytes into each copy of a batch.
 BATCH_ROWS, DEFAULT_ROWS = "4000", "10000"
+#: Bytes of a batch that goes to Python, wherever Spark's own bound of 64 MB holds: each task keeps several copies of one outside the heap.
+BATCH_BYTES, DEFAULT_BYTES = str(8 << 20), str(64 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -34,6 +36,9 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == DEFAULT_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == DEFAULT_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],

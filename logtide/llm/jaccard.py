@@ -40,6 +40,8 @@ CLOSE_BITS = 4
 GROUP_PART, CLASSES = 50, 16
 #: Shingles that are hashed for the signature at a time.
 BLOCK = 2_000
+#: Rows of shingles that leave Python at a time.
+LISTED = 100_000
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -159,8 +161,10 @@ def differences(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         sizes = [len(x.as_buffer()) // 8 for x in batch.column("shingles")]
         at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
         shingles = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")] or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "group", "many")), pa.array(shingles)],
-                                         ["node", "group", "many", "shingle"])
+        for lo in range(0, len(shingles), LISTED):
+            part = at.slice(lo, LISTED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(part) for c in ("node", "group", "many")), pa.array(shingles[lo:lo + LISTED])],
+                                             ["node", "group", "many", "shingle"])
 
     many = nodes.groupBy("group").agg(F.count("*").alias("many"))
     counted = nodes.join(many, "group").select("node", "group", "many")

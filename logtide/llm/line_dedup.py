@@ -122,6 +122,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.DataFrame([clean_lines(t, s, covers) for t, s in zip(texts, starts)],
                             columns=["kept", "n_lines", "n_removed", "n_spans"])
 
+    # A filter on the counts would otherwise be pushed below and clean each text a second time, in a Python worker of its own.
+    cleaned = cleaned.asNondeterministic()
     small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     found = later_windows(docs, id_col, text_col, window, long_words).withColumnsRenamed({"id": "at_id", "version": "at_version"})
