@@ -20,16 +20,16 @@ def _shift(column: str, seconds: int):
 
 def log_samples(events: DataFrame, logs: DataFrame, payload: list[str], log_time: str = "event_time",
                 log_id: str = "event_id", before: int = LOGS_BEFORE, after: int = LOGS_AFTER,
-                limit: int = MAX_LOGS) -> DataFrame:
-    """Newest log rows of the event's service around the event, as ranked rows."""
+                limit: int = MAX_LOGS, lists: bool = False) -> DataFrame:
+    """Newest log rows of the event's service around the event, as ranked rows or lists."""
     return newest_in_range(
         events, logs, "service", "event_id", _shift("ts", -before), _shift("ts", after),
-        log_time, log_id, payload, limit)
+        log_time, log_id, payload, limit, lists=lists)
 
 
 def correlated_anomalies(events: DataFrame, anomalies: DataFrame | None = None,
                          radius: int = CORRELATION_RADIUS, limit: int = MAX_CORRELATED,
-                         fields: list[str] | None = None) -> DataFrame:
+                         fields: list[str] | None = None, lists: bool = False) -> DataFrame:
     """Newest anomalies of other services within `radius` seconds of each event.
 
     An event looks at no more than `limit` rows, however many services are busy around it and however long the range is.
@@ -38,15 +38,15 @@ def correlated_anomalies(events: DataFrame, anomalies: DataFrame | None = None,
     fields = fields or [c for c in CORRELATED_FIELDS if c in found.columns]
     return newest_of_others(
         events, found, "service", "event_id", _shift("ts", -radius), _shift("ts", radius), "ts", "event_id",
-        [F.col(f).alias(f"other_{f}") for f in fields], limit)
+        [F.col(f).alias(f"other_{f}") for f in fields], limit, lists)
 
 
 def recent_deployments(events: DataFrame, deployments: DataFrame, payload: list[str],
-                       deployment_id: str = "deployment_id", limit: int = MAX_DEPLOYMENTS) -> DataFrame:
-    """Last deployments of the event's service up to the event time, as ranked rows."""
+                       deployment_id: str = "deployment_id", limit: int = MAX_DEPLOYMENTS, lists: bool = False) -> DataFrame:
+    """Last deployments of the event's service up to the event time, as ranked rows or lists."""
     return newest_in_range(
         events, deployments, "service", "event_id", None, F.col("ts"),
-        "ts", deployment_id, payload, limit, bucket_seconds=86_400)
+        "ts", deployment_id, payload, limit, bucket_seconds=86_400, lists=lists)
 
 
 def with_owner(df: DataFrame, registry: DataFrame, service: str = "service",
@@ -81,22 +81,28 @@ def as_lists(ranked: DataFrame, fields: list[str], out: str) -> DataFrame:
     )
 
 
+def one_list(lists: DataFrame, out: str) -> DataFrame:
+    """(event_id, out): the lists `found` of events, one for each id; those of events that share an id are merged by rank."""
+    ranked = F.flatten(F.transform("_l", lambda found: F.transform(found, lambda x, i: F.struct(i.alias("rank"), x.alias("row")))))
+    merged = F.transform(F.array_sort(ranked), lambda x: x["row"])
+    return (lists.groupBy("event_id").agg(F.collect_list("found").alias("_l"))
+            .select("event_id", F.when(F.size("_l") == 1, F.col("_l")[0]).otherwise(merged).alias(out)))
+
+
 def enrich(events: DataFrame, logs: DataFrame, deployments: DataFrame, registry: DataFrame,
            log_fields: tuple[str, ...] = ("level", "message"),
            deployment_fields: tuple[str, ...] = ("version", "deployed_by"),
-           log_id: str = "log_id", deployment_id: str = "deployment_id") -> DataFrame:
+           log_id: str = "log_id", deployment_id: str = "deployment_id",
+           other_fields: tuple[str, ...] | None = None) -> DataFrame:
     """Events with log_samples, correlated_anomalies, recent_deployments, oncall_owner.
 
     Events without a match get empty lists.
     """
-    other = [f for f in CORRELATED_FIELDS if f in events.columns]
+    other = list(other_fields) if other_fields else [f for f in CORRELATED_FIELDS if f in events.columns]
     parts = [
-        as_lists(log_samples(events, logs, list(log_fields), log_id=log_id),
-                 list(log_fields), "log_samples"),
-        as_lists(correlated_anomalies(events, fields=other),
-                 [f"other_{f}" for f in other], "correlated_anomalies"),
-        as_lists(recent_deployments(events, deployments, list(deployment_fields), deployment_id),
-                 list(deployment_fields), "recent_deployments"),
+        one_list(log_samples(events, logs, list(log_fields), log_id=log_id, lists=True), "log_samples"),
+        one_list(correlated_anomalies(events, fields=other, lists=True), "correlated_anomalies"),
+        one_list(recent_deployments(events, deployments, list(deployment_fields), deployment_id, lists=True), "recent_deployments"),
     ]
     out = events
     for part in parts:
