@@ -131,10 +131,14 @@ FUTURE = '{"timestamp":"2031-01-01T00:00:00Z","service_name":"auth-svc","level":
 SPLIT = "2024-01-16"
 
 
+#: Rows of a message file: one is read by one task, so their number has to grow with the input.
+FILE_ROWS = 50_000
+
+
 def in_batches(parts: list[DataFrame], path: str, run) -> None:
     """Write each part as it lies and run the stream over what is new: one batch, in many tasks, for each part."""
     for part in parts:
-        part.write.mode("append").parquet(path)
+        part.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
         run()
 
 
